@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .mixing import mix
 from .packing import pack
 
 
@@ -20,5 +21,34 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op1_packing": op1_packing}
-ORACLES: dict[str, str] = {}
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op1_packing": op1_packing, "op7_mixing": op7_mixing}
+ORACLES: dict[str, str] = {
+    "op7_mixing": r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+n AS (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS total FROM sized),
+b AS (SELECT total, max(x) AS block FROM n, (VALUES (1), (2), (4), (8), (16), (32), (64)) t(x) WHERE x = 1 OR total >= 4096 * x GROUP BY total),
+o AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS ord FROM sized GROUP BY source),
+w AS (SELECT *, CASE ord % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, CAST(source_size * 3 AS DOUBLE) AS cap FROM o),
+l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - (sum(cap) OVER (ORDER BY cap / weight, ord ROWS UNBOUNDED PRECEDING) - cap))
+                / sum(weight) OVER (ORDER BY cap / weight, ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM w),
+t AS (SELECT source, source_size, ord, least(cap, max(lev) OVER () * weight) AS target FROM l),
+e AS (SELECT *, CAST(round(sum(target) OVER (ORDER BY ord ROWS UNBOUNDED PRECEDING) / sum(target) OVER () * 4294967296) AS BIGINT) AS hi FROM t WHERE target > 0),
+s AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY ord), 0) AS lo FROM e),
+p AS (SELECT CAST((i * 2654435769) % 4294967296 AS BIGINT) AS point FROM b, unnest(range(1, CAST(ceil(total / block) AS BIGINT) + 1)) r(i)),
+c AS (SELECT ord, count(*) AS slots FROM s JOIN p ON point >= lo AND point < hi GROUP BY ord),
+d AS (SELECT z.doc_id, z.size, t.source_size, t.target, t.ord, sum(z.size) OVER (PARTITION BY z.source ORDER BY h, z.doc_id, z.size ROWS UNBOUNDED PRECEDING) - z.size AS start
+      FROM sized z JOIN t ON z.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(
+  greatest(0, least(start + size, coalesce(slots, 0) * block) - start)
+  + greatest(0, least(start + source_size + size, coalesce(slots, 0) * block) - start - source_size)
+  + greatest(0, least(start + 2 * source_size + size, coalesce(slots, 0) * block) - start - 2 * source_size) AS BIGINT) AS taken
+FROM d CROSS JOIN b LEFT JOIN c ON c.ord = d.ord
+""",
+}
