@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .mixing import mix
 from .packing import pack
+from .pii import digests, find_pii
 
 
 def default_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -26,7 +27,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_packing": op1_packing, "op7_mixing": op7_mixing}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+QUERIES = {"op1_packing": op1_packing, "op7_mixing": op7_mixing, "op10_pii": op10_pii}
 ORACLES: dict[str, str] = {
     "op7_mixing": r"""
 WITH sized AS (
