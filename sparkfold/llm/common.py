@@ -79,11 +79,11 @@ class ChunkCoder:
     through in slices of about ``slice_bytes``.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], slice_bytes: int = 8 << 20):
-        self.encode, self.slice_bytes = encode, slice_bytes
+    def __init__(self, encode: Callable[[list[str]], list], prepare: Callable[[pa.Array], pa.Array] | None = None, slice_bytes: int = 8 << 20):
+        self.encode, self.prepare, self.slice_bytes = encode, prepare or (lambda texts: texts), slice_bytes
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        words = pc.ascii_split_whitespace(texts)
+        words = pc.ascii_split_whitespace(self.prepare(texts))
         ends = words.offsets.to_numpy().astype(np.int64)
         coded = words.values.dictionary_encode()
         ids = self.encode(coded.dictionary.to_pylist())

@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +33,11 @@ TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordTokenizer:
-    """Token ids of chunks, by way of a bounded memo of letter runs and punctuation runs.
+    """Token ids of chunks, by way of a bounded memo of words and punctuation runs.
 
-    A chunk that is letters and then ASCII punctuation consists of these two pre-tokens, in a
-    tokenizer that marks the last token of each pre-token by a suffix. New letter runs are tokenized
-    joined by spaces in one call and told apart by that suffix; any other chunk goes through whole.
+    A chunk is cut before its last ASCII punctuation run: where a letter or digit stands before it,
+    a pre-token ends there. New letter runs are tokenized joined by spaces in one call and told apart
+    by the suffix that marks the last token of a pre-token; other words go through one by one.
     """
 
     def __init__(self, path: str, memo_limit: int = 500_000):
@@ -47,53 +48,64 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
-        self.suffix, self.memo_limit = suffix, memo_limit
+        self.tail = TAIL if suffix else ""
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = {t[-1] for t in added} & set(TAIL)  # a run with these may be the end of an added token
+        self.folds = self._ids(["A", "\u00c4"]) == self._ids(["a", "\u00e4"]) and not any(t.isalpha() for t in added)
+        self.heads = {t[:2] for t in added}
+        self.memo_limit = memo_limit
         self.words: dict[str, tuple] = {}
         self.rest: dict[str, tuple] = {"": ()}
 
+    def _ids(self, words: list[str]) -> list[tuple]:
+        return [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def prepare(self, texts: pa.Array) -> pa.Array:
+        """Lower-cases ASCII first where the tokenizer does so anyway and no added token may occur."""
+        if self.folds and not any(pc.any(pc.match_substring(texts, h)).as_py() for h in self.heads):
+            return pc.ascii_lower(texts)
+        return texts
+
     def __call__(self, chunks: list[str]) -> list[tuple]:
-        words, rest = self.words, self.rest
+        words, rest, tail = self.words, self.rest, self.tail
         if len(words) > self.memo_limit:
             words.clear()
         if len(rest) > self.memo_limit:
             rest.clear()
             rest[""] = ()
-        cut, new_words, new_rest = [], set(), set()
-        for chunk in chunks:
-            word = chunk.rstrip(TAIL) if self.suffix else ""
-            if word.isalpha():
-                tail = chunk[len(word) :]
-                if word not in words:
-                    new_words.add(word)
-            else:
-                word, tail = "", chunk
-            if tail not in rest:
-                new_rest.add(tail)
-            cut.append((word, tail))
-        self._learn_words(list(new_words))
-        if new_rest:
-            new = list(new_rest)
-            rest.update(zip(new, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return [words[w] + rest[t] if w else rest[t] for w, t in cut]
-
-    def _learn_words(self, new: list[str]) -> None:
+        bare = [c.rstrip(tail) for c in chunks]
+        ends = [c[len(w) :] for c, w in zip(chunks, bare, strict=True)]
+        new_rest = set(ends).difference(rest)
+        unsafe = {t for t in set(ends) if t and not self.marks.isdisjoint(t)}
+        for i, w in enumerate(bare):
+            if ends[i] and (not w[-1:].isalnum() or ends[i] in unsafe):
+                bare[i], ends[i] = chunks[i], ""
+        new = set(bare).difference(words)
+        runs = [w for w in new if w.isalpha()] if tail else []
+        self._learn_runs(runs)
+        other = list(new.difference(runs))
+        words.update(zip(other, self._ids(other), strict=True))
+        new_rest = list(new_rest)
+        rest.update(zip(new_rest, self._ids(new_rest), strict=True))
+        return [words[w] + rest[t] if t else words[w] for w, t in zip(bare, ends, strict=True)]
+
+    def _learn_runs(self, new: list[str]) -> None:
         if not new:
             return
         ids = self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) == len(new):
-            at = 0
-            for word, end in zip(new, ends.tolist(), strict=True):
-                self.words[word] = tuple(ids[at:end])
-                at = end
+            starts = [0, *ends[:-1].tolist()]
+            self.words.update((w, tuple(ids[a:b])) for w, a, b in zip(new, starts, ends.tolist(), strict=True))
         else:  # some letter run is no single pre-token here
-            self.words.update(zip(new, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            self.words.update(zip(new, self._ids(new), strict=True))
 
 
 def tokenizer_coder(path: str) -> ChunkCoder:
     """A coder for a tokenizer file whose pre-tokens never cross ASCII white space and drop it."""
     if path not in _CODERS:
-        _CODERS[path] = ChunkCoder(WordTokenizer(path))
+        words = WordTokenizer(path)
+        _CODERS[path] = ChunkCoder(words, words.prepare)
     return _CODERS[path]
 
 
