@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .licenses import TEMPLATES, scan
 from .mixing import mix
 from .packing import pack
 from .pii import digests, find_pii
@@ -23,6 +24,36 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+def _licenses_sql() -> str:
+    values = ", ".join(f"({i}, '{label}', {len(set(t.lower().split()))}, {sorted(set(t.lower().split()))})" for i, (t, label) in enumerate(TEMPLATES.items()))
+    word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    ascii_lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH d AS (SELECT doc_id, hash(text) AS h, {ascii_lower.format("coalesce(text, '')")} AS text FROM documents),
+w AS (SELECT doc_id, h, text, regexp_extract_all(text, {word}) AS w FROM d),
+p AS (SELECT doc_id, h, text, len(w) AS n_words,
+        list_filter(range(1, len(w) + 1), lambda i: w[i] = 'cc' AND w[i + 1] = 'by') AS cc,
+        list_filter(range(1, len(w) + 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS gpl,
+        list_filter(range(1, len(w) + 1), lambda i: w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved') AS res FROM w),
+t AS (SELECT * FROM (VALUES {values}) v(template, label, m, words)),
+b AS (SELECT DISTINCT doc_id, h, list_distinct(regexp_extract_all(line, {word})) AS bw
+      FROM (SELECT doc_id, h, unnest(string_split(text, chr(10))) AS line FROM d)),
+c AS (SELECT doc_id, h, label, len(list_intersect(bw, words)) / m AS containment FROM b, t WHERE len(list_intersect(bw, words)) >= ceil(0.8 * m - 1e-9)),
+k AS (SELECT doc_id, h, list(DISTINCT label) AS more, max(containment) AS top FROM c GROUP BY doc_id, h),
+x AS (SELECT p.*, list_concat(CASE WHEN len(cc) > 0 THEN ['cc-by'] ELSE [] END, CASE WHEN len(gpl) > 0 THEN ['gpl'] ELSE [] END, CASE WHEN len(res) > 0 THEN ['reserved'] ELSE [] END) AS base, more, top
+      FROM p LEFT JOIN k ON p.doc_id IS NOT DISTINCT FROM k.doc_id AND p.h = k.h)
+SELECT doc_id, n_words, CAST(len(cc) + len(gpl) + len(res) AS BIGINT) AS n_base,
+       list_min(list_concat(cc, gpl, res)) - 1 AS first_word, list_max(list_concat(cc, gpl, res)) - 1 AS last_word,
+       array_to_string(base, ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ',') AS labels,
+       CAST(CASE WHEN len(base) > 0 THEN 1.0 ELSE coalesce(top, 0.0) END AS DOUBLE) AS score
+FROM x"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -31,8 +62,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"op1_packing": op1_packing, "op7_mixing": op7_mixing, "op10_pii": op10_pii}
+QUERIES = {"op1_packing": op1_packing, "op3_licenses": op3_licenses, "op7_mixing": op7_mixing, "op10_pii": op10_pii}
 ORACLES: dict[str, str] = {
+    "op3_licenses": _licenses_sql(),
     "op7_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
