@@ -25,8 +25,8 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 TEMPLATES = {
     "This work is licensed under the GNU General Public License": "gpl-notice",
     "This program is free software you can redistribute it and or modify it under the terms of the GNU General Public License": "gpl-notice",
-    "Licensed under CC BY": "cc-by-notice",
-    "This work is licensed under a Creative Commons Attribution International License": "cc-by-notice",
+    "Licensed under CC BY": "creative-commons",
+    "This work is licensed under a Creative Commons Attribution International License": "creative-commons",
     "Licensed under CC BY NC": "cc-by-nc",
     "Licensed under CC BY SA": "cc-by-sa",
     "Released under the MIT License": "mit",
@@ -87,7 +87,7 @@ def blocks(docs: DataFrame, key: list, text: str) -> DataFrame:
     return lines.select("*", F.array_distinct(F.split(F.trim(F.regexp_replace("_line", F.lit(f"{SEPARATORS}+"), F.lit(" "))), " ")).alias("words")).drop("_line")
 
 
-def template_matches(docs: DataFrame, key: tuple, text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+def template_matches(docs: DataFrame, key: tuple, text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = 0.9) -> DataFrame:
     """Every (block, template) of containment at least threshold: key columns, block, label, containment.
 
     The join's smaller side has the templates' prefixes, a constant of the program, and is broadcast.
@@ -124,7 +124,7 @@ def template_matches(docs: DataFrame, key: tuple, text: str = "text", templates:
     return pairs.select(*names, "template", "label", "containment")
 
 
-def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = 0.9) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base (labels), labels, score, per row of docs.
 
     labels has base and template labels; score is 1 with a phrase, else the largest containment, else

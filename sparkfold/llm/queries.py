@@ -43,7 +43,7 @@ p AS (SELECT doc_id, h, text, len(w) AS n_words,
 t AS (SELECT * FROM (VALUES {values}) v(template, label, m, words)),
 b AS (SELECT DISTINCT doc_id, h, list_distinct(regexp_extract_all(line, {word})) AS bw
       FROM (SELECT doc_id, h, unnest(string_split(text, chr(10))) AS line FROM d)),
-c AS (SELECT doc_id, h, label, len(list_intersect(bw, words)) / m AS containment FROM b, t WHERE len(list_intersect(bw, words)) >= ceil(0.8 * m - 1e-9)),
+c AS (SELECT doc_id, h, label, len(list_intersect(bw, words)) / m AS containment FROM b, t WHERE len(list_intersect(bw, words)) >= ceil(0.9 * m - 1e-9)),
 k AS (SELECT doc_id, h, list(DISTINCT label) AS more, max(containment) AS top FROM c GROUP BY doc_id, h),
 x AS (SELECT p.*, list_concat(CASE WHEN len(cc) > 0 THEN ['cc-by'] ELSE [] END, CASE WHEN len(gpl) > 0 THEN ['gpl'] ELSE [] END, CASE WHEN len(res) > 0 THEN ['reserved'] ELSE [] END) AS base, more, top
       FROM p LEFT JOIN k ON p.doc_id IS NOT DISTINCT FROM k.doc_id AND p.h = k.h)
