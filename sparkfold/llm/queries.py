@@ -10,6 +10,7 @@ from .licenses import TEMPLATES, scan
 from .mixing import mix
 from .packing import pack
 from .pii import digests, find_pii
+from .quality import classify
 
 
 def default_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -58,11 +59,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_licenses": op3_licenses, "op7_mixing": op7_mixing, "op10_pii": op10_pii}
+QUERIES = {"op1_packing": op1_packing, "op3_licenses": op3_licenses, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op10_pii": op10_pii}
 ORACLES: dict[str, str] = {
     "op3_licenses": _licenses_sql(),
     "op7_mixing": r"""
