@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .licenses import TEMPLATES, scan
 from .mixing import mix
+from .near_dedup import near_duplicate_classes
 from .packing import pack
 from .pii import digests, find_pii
 from .quality import classify
@@ -25,6 +26,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
@@ -67,7 +72,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_licenses": op3_licenses, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op10_pii": op10_pii}
+QUERIES = {"op1_packing": op1_packing, "op2_near_dedup": op2_near_dedup, "op3_licenses": op3_licenses, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op10_pii": op10_pii}
 ORACLES: dict[str, str] = {
     "op3_licenses": _licenses_sql(),
     "op7_mixing": r"""
