@@ -12,6 +12,7 @@ from .near_dedup import near_duplicate_classes
 from .packing import pack
 from .pii import digests, find_pii
 from .quality import classify
+from .substrings import remove_repeats
 
 
 def default_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -35,6 +36,11 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"), width=50)
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _licenses_sql() -> str:
     values = ", ".join(f"({i}, '{label}', {len(set(t.lower().split()))}, {sorted(set(t.lower().split()))})" for i, (t, label) in enumerate(TEMPLATES.items()))
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -72,7 +78,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_near_dedup": op2_near_dedup, "op3_licenses": op3_licenses, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op10_pii": op10_pii}
+QUERIES = {"op1_packing": op1_packing, "op2_near_dedup": op2_near_dedup, "op3_licenses": op3_licenses, "op4_repeats": op4_repeats, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op10_pii": op10_pii}
 ORACLES: dict[str, str] = {
     "op3_licenses": _licenses_sql(),
     "op7_mixing": r"""
