@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .html_text import extract
 from .licenses import TEMPLATES, scan
 from .mixing import mix
 from .near_dedup import near_duplicate_classes
@@ -66,6 +67,10 @@ SELECT doc_id, n_words, CAST(len(cc) + len(gpl) + len(res) AS BIGINT) AS n_base,
 FROM x"""
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -78,7 +83,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_near_dedup": op2_near_dedup, "op3_licenses": op3_licenses, "op4_repeats": op4_repeats, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op10_pii": op10_pii}
+QUERIES = {"op1_packing": op1_packing, "op2_near_dedup": op2_near_dedup, "op3_licenses": op3_licenses, "op4_repeats": op4_repeats, "op6_html_text": op6_html_text, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op10_pii": op10_pii}
 ORACLES: dict[str, str] = {
     "op3_licenses": _licenses_sql(),
     "op7_mixing": r"""
