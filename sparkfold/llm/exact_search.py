@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 from .vectors import best, deal, matrix, usable
 
-LEAF = 32
+#: Points of a leaf, queries of a group, centres drawn at once, and such draws in one node.
+LEAF, GROUP, DRAW, DRAWS = 256, 256, 64, 8
 
 
 class Node:
     """centre, radius, kids (their centres and radii as arrays), loose (numbers of points that are no kid's)."""
 
-    __slots__ = ("centre", "kids", "kid_centres", "kid_radii", "loose", "radius")
+    __slots__ = ("centre", "kid_centres", "kid_radii", "kids", "loose", "radius")
 
     def __init__(self, centre: np.ndarray, radius: float, kids: list, loose: np.ndarray):
         self.centre, self.radius, self.kids, self.loose = centre, radius, kids, loose
@@ -29,30 +30,46 @@ class Node:
             self.kid_centres, self.kid_radii = np.stack([c.centre for c in kids]), np.array([c.radius for c in kids])
 
 
-def cover_tree(points: np.ndarray, numbers: np.ndarray, first: int | None = None, leaf: int = LEAF) -> Node:
-    """The cover tree of points[numbers]. A child that would hold one point stays a loose point."""
-    first = int(numbers[0]) if first is None else first
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
+    return np.sqrt(np.maximum(squares, 0))
+
+
+def cover_tree(points: np.ndarray, numbers: np.ndarray, first: int, leaf: int) -> Node:
+    """The cover tree of points[numbers] around points[first].
+
+    Centres half a radius apart are drawn in order, DRAW candidates at a time; a point goes to the first
+    centre within half the radius. Points that are no centre's, or alone, stay loose points of the node:
+    where the space is so wide that nearly all are, DRAWS draws end it.
+    """
     centre = points[first]
-    away = np.sqrt(((points[numbers] - centre) ** 2).sum(axis=1))
-    radius = float(away.max())
+    radius = float(_distances(points[numbers], centre[None, :]).max())
     if len(numbers) <= leaf or radius == 0:
         return Node(centre, radius, [], numbers)
-    kids, loose, left, next_ = [], [], numbers, first
-    while len(left):
-        near = away <= radius / 2 if next_ == first else np.sqrt(((points[left] - points[next_]) ** 2).sum(axis=1)) <= radius / 2
-        mine = left[near]
-        if len(mine) > 1:
-            kids.append(cover_tree(points, mine, next_, leaf))
-        else:
-            loose.append(mine)
-        left = left[~near]
-        if len(left):
-            next_ = int(left[0])
-    return Node(centre, radius, kids, np.concatenate(loose) if loose else np.zeros(0, np.int64))
-
-
-def _members(node: Node) -> np.ndarray:
-    return np.concatenate([node.loose, *[_members(c) for c in node.kids]])
+    kids, loose, left = [], [], numbers[numbers != first]
+    left = np.concatenate([[first], left])
+    for _ in range(DRAWS):
+        if not len(left):
+            break
+        apart = _distances(points[left[:DRAW]], points[left[:DRAW]]) > radius / 2
+        chosen: list[int] = []
+        for i in range(len(apart)):
+            if apart[i, chosen].all():
+                chosen.append(i)
+        near = _distances(points[left], points[left[chosen]]) <= radius / 2
+        near[chosen, np.arange(len(chosen))] = True
+        goes = np.where(near.any(axis=1), near.argmax(axis=1), -1)
+        goes[chosen] = np.arange(len(chosen))
+        for j, c in enumerate(left[chosen].tolist()):
+            mine = left[goes == j]
+            if len(mine) == 1:
+                loose.append(mine)
+            elif len(mine) == len(numbers):  # rounding kept all within half the radius
+                loose.append(mine)
+            else:
+                kids.append(cover_tree(points, mine, c, leaf))
+        left = left[goes < 0]
+    return Node(centre, radius, kids, np.concatenate([*loose, left]).astype(np.int64))
 
 
 class DualTree:
@@ -61,57 +78,52 @@ class DualTree:
     def __init__(self, data: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int):
         self.data, self.ids, self.queries, self.own, self.k = data, ids, queries, own, k
         self.scores, self.found = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1, np.int64)
-        self.lengths = np.sqrt((data.astype(np.float64) ** 2).sum(axis=1))
         self.pairs = 0
 
     def run(self) -> None:
         if len(self.data) and len(self.queries):
-            tree = cover_tree(self.data, np.arange(len(self.data)))
-            groups: list[tuple[Node, np.ndarray]] = []
-            self._groups(cover_tree(self.queries, np.arange(len(self.queries))), groups)
-            for q, members in groups:
-                self._visit(q, members, tree)
-
-    def _groups(self, node: Node, out: list) -> None:
-        """The query tree's leaves; loose points of a node are groups of one."""
-        if not node.kids:
-            out.append((node, node.loose))
-            return
-        for kid in node.kids:
-            self._groups(kid, out)
-        for i in node.loose:
-            out.append((Node(self.queries[i], 0.0, [], node.loose[:0]), np.array([i])))
+            self.sizes = np.sqrt((self.queries * self.queries).sum(axis=1))
+            tree = cover_tree(self.data, np.arange(len(self.data)), 0, LEAF)
+            self._descend(cover_tree(self.queries, np.arange(len(self.queries)), 0, GROUP), tree)
+
+    def _descend(self, q: Node, tree: Node) -> None:
+        """Searches for the leaves of the query tree, and for a node's loose queries as one group."""
+        for kid in q.kids:
+            self._descend(kid, tree)
+        for at in range(0, len(q.loose), GROUP):
+            self._visit(q, q.loose[at : at + GROUP], tree)
 
     def _visit(self, q: Node, members: np.ndarray, tree: Node) -> None:
-        size = float(np.sqrt((q.centre.astype(np.float64) ** 2).sum()))
+        size = float(np.sqrt((q.centre * q.centre).sum()))
         stack = [(np.inf, tree)]
         while stack:
             bound, d = stack.pop()
             if bound < self.scores[members, -1].min():
                 continue
-            if len(d.loose):
-                worst = self.scores[members, -1].min()
-                rows = d.loose
-                if q.radius == 0 or len(rows) > LEAF:
-                    rows = rows[self.data[rows] @ q.centre + q.radius * self.lengths[rows] * (1 + 1e-9) + 1e-6 >= worst]
-                self._compare(members, rows)
+            self._compare(members, d.loose)
             if d.kids:
-                lengths = np.sqrt((d.kid_centres.astype(np.float64) ** 2).sum(axis=1))
+                worst = self.scores[members, -1]
+                lengths = np.sqrt((d.kid_centres * d.kid_centres).sum(axis=1))
                 bounds = d.kid_centres @ q.centre + (size * d.kid_radii + lengths * q.radius + q.radius * d.kid_radii) * (1 + 1e-9) + 1e-6
-                worst = self.scores[members, -1].min()
-                for i in np.argsort(bounds, kind="stable").tolist():  # the most promising is popped first
-                    if bounds[i] >= worst:
-                        stack.append((bounds[i], d.kids[i]))
+                live = np.flatnonzero(bounds >= worst.min())
+                # Of the pairs that pass, each query's own bound.
+                each = self.queries[members] @ d.kid_centres[live].T + self.sizes[members][:, None] * d.kid_radii[live] * (1 + 1e-9) + 1e-6
+                live = live[(each >= worst[:, None]).any(axis=0)]
+                for i in live[np.argsort(bounds[live], kind="stable")].tolist():  # the most promising is popped first
+                    stack.append((bounds[i], d.kids[i]))
 
     def _compare(self, members: np.ndarray, rows: np.ndarray) -> None:
-        if not len(rows):
-            return
-        self.pairs += len(members) * len(rows)
-        scores = self.queries[members] @ self.data[rows].T
-        for m, s in zip(members.tolist(), scores, strict=True):
-            fit = (s >= self.scores[m, -1]) & (self.ids[rows] != self.own[m])
-            if fit.any():
-                all_s, all_i = np.append(self.scores[m], s[fit]), np.append(self.found[m], self.ids[rows[fit]])
+        for at in range(0, len(rows), 4096):
+            part = rows[at : at + 4096]
+            self.pairs += len(members) * len(part)
+            scores = self.queries[members] @ self.data[part].T
+            fit = (scores >= self.scores[members, -1][:, None]) & (self.ids[part] != self.own[members][:, None])
+            for j in np.flatnonzero(fit.any(axis=1)).tolist():
+                m, pick = members[j], np.flatnonzero(fit[j])
+                if len(pick) > 8 * self.k:  # all that tie with the kth best stay
+                    s = scores[j, pick]
+                    pick = pick[s >= np.partition(s, len(s) - self.k)[len(s) - self.k]]
+                all_s, all_i = np.append(self.scores[m], scores[j, pick]), np.append(self.found[m], self.ids[part[pick]])
                 order = np.lexsort((all_i, -all_s))[: self.k]
                 self.scores[m], self.found[m] = all_s[order], all_i[order]
 
