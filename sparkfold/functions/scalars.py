@@ -27,9 +27,7 @@ def container_name(number: Column) -> Column:
 
 def byte_values(payload: Column) -> Column:
     """Array of the byte values, 0 to 255."""
-    digits = F.hex(payload)
-    at = F.sequence(F.lit(0), F.length(payload) - 1)
-    return F.when(F.length(payload) > 0, F.transform(at, lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.filter(F.split(F.decode(payload, "ISO-8859-1"), ""), lambda c: c != ""), lambda c: F.ascii(c))
 
 
 def byte_sum(payload: Column) -> Column:

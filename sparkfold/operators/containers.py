@@ -31,6 +31,7 @@ def pack_exactly(chunks: DataFrame, order: tuple, size: str = "stored_len", stre
     goes through one task, in order, as rows of its key and sizes alone; batches pass one at a time.
     """
     prepare(chunks.sparkSession)
+    chunks = chunks.drop("container", "offset")
     narrow = chunks.select(*streams, *[c for c in order if c not in streams], F.col(size).cast("long").alias(size))
     schema = T.StructType([*narrow.schema.fields, T.StructField("container", T.LongType()), T.StructField("offset", T.LongType())])
     ordered = narrow.repartition(*streams).sortWithinPartitions(*streams, *order)
