@@ -29,7 +29,7 @@ from .words import P1, mix, powers, slices
 GRAM, SUBS, MOST = 12, 16, 64
 NO_ID = np.iinfo(np.int64).max
 #: Bytes of text per bucket, and per flush of a task; buckets at least.
-BUCKET_BYTES, FLUSH_BYTES, LEAST_BUCKETS = 16 << 20, 24 << 20, 64
+BUCKET_BYTES, FLUSH_BYTES, LEAST_BUCKETS = 8 << 20, 8 << 20, 64
 LEVEL = 4
 _CODEC: dict[int, pa.Codec] = {}
 
