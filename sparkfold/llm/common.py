@@ -59,11 +59,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df to the shared scratch folder and reads it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Writes df to the shared scratch folder and reads it back: cuts lineage, survives lost executors.
+
+    ``tasks`` bounds the tasks of the last stage, and so the files, where little data meets many partitions.
+    """
     spark = df.sparkSession
     path = scratch_dir(spark)
-    df.write.parquet(path)
+    (df.coalesce(tasks) if tasks else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,9 +11,9 @@ Joining: texts with the same word sequence are first put together under their sm
 Signatures are cut into bands; a bucket is a band's value. In rounds, every bucket picks one member
 as its hub, and members whose class differs from the hub's are compared with it on their full
 shingle sets; those of similarity 0.8 or more (weighted, or plain Jaccard) are linked, and linked
-classes merge. The first hubs are drawn by hash, later ones are members with most links that were
-no hub before, so a text in the middle of its copies becomes hub next. Rounds end when hubs of both kinds
-merge nothing more. A bucket is never paired with itself, joins on hot buckets and hubs are plain
+classes merge. Hubs are drawn by hash, and after the first round also the member of most links that was no
+hub before, so a text in the middle of its copies becomes hub next. Rounds end when no hub of any
+kind links anything more. A bucket is never paired with itself, joins on hot buckets and hubs are plain
 sort-merge joins whose large partitions Spark splits, and links and classes stay on the executors.
 """
 
@@ -30,6 +30,8 @@ from .common import materialize, ship_code
 from .words import mix, sequence_hashes, shingles, slices, word_hashes
 
 BANDS, ROWS, WIDTH, SIMILARITY = 24, 5, 5, 0.8
+#: Ids that may be broadcast to pick their shingle sets.
+FEW_IDS = 100_000
 
 
 def dart_minhash(owner: np.ndarray, units: np.ndarray, n_texts: int, k: int) -> np.ndarray:
@@ -72,7 +74,8 @@ def _units(hashes: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, text: str, bands: int, rows: int) -> DataFrame:
-    """id, h1, h2 (hashes of the word sequence), bands (null for a text without words)."""
+    """id, h1, h2 (hashes of the word sequence), n and u (distinct shingles, and all), bands (null for a
+    text without words)."""
     ship_code(docs.sparkSession)
 
     def run(batches):
@@ -85,9 +88,10 @@ def signatures(docs: DataFrame, text: str, bands: int, rows: int) -> DataFrame:
                 values = band_values(dart_minhash(owner, _units(hashes, occurrence), len(texts), bands * rows), bands, rows)
                 empty = np.diff(upto) == 0
                 lists = pa.ListArray.from_arrays(np.arange(0, values.size + 1, bands, dtype=np.int32), pa.array(values.ravel()), mask=pa.array(empty))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), pa.array(h1), pa.array(h2), lists], ["id", "h1", "h2", "bands"])
+                n, u = (pa.array(np.bincount(o, minlength=len(texts)).astype(np.int32)) for o in (owner[occurrence == 0], owner))
+                yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), pa.array(h1), pa.array(h2), n, u, lists], ["id", "h1", "h2", "n", "u", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, "id long, h1 long, h2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, "id long, h1 long, h2 long, n int, u int, bands array<long>")
 
 
 def unit_sets(docs: DataFrame, text: str) -> DataFrame:
@@ -124,8 +128,11 @@ def similar(a: bytes, n: int, b: bytes, m: int, least: float) -> bool:
     return shared >= least * (len(x) + len(y) - shared)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, hub) whose shingle sets are similar enough."""
+def verify(pairs: DataFrame, sets: DataFrame, least: float, tasks: int) -> DataFrame:
+    """The pairs (a, hub) whose shingle sets are similar enough, compared in at most ``tasks`` tasks."""
+    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("hub").alias("id"))).distinct()
+    if asked.limit(FEW_IDS + 1).count() <= FEW_IDS:  # else the sets are joined whole
+        sets = sets.join(F.broadcast(asked), "id", "left_semi")
     left = pairs.join(sets.withColumnsRenamed({"id": "a", "size": "n", "units": "x"}), "a")
     both = left.join(sets.withColumnsRenamed({"id": "hub", "size": "m", "units": "y"}), "hub")
 
@@ -135,28 +142,48 @@ def verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             kept = [i for i in range(len(a)) if similar(x[i], n[i], y[i], m[i], least)]
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in kept], pa.int64()), pa.array([hub[i] for i in kept], pa.int64())], ["a", "hub"])
 
-    return both.select("a", "hub", "n", "x", "m", "y").mapInArrow(run, "a long, hub long")
+    return both.select("a", "hub", "n", "x", "m", "y").coalesce(tasks).mapInArrow(run, "a long, hub long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tasks: int | None = None, bound: int = 10_000) -> DataFrame:
     """(node, label) of the nodes of edges (a, b): label is the least node of the connected component.
 
-    Labels spread to neighbours and jump along labels, so the rounds grow with the logarithm of a
-    component's width; each round is written to the shared scratch folder.
+    Up to ``bound`` edges are merged in one task. More are merged in rounds, in which labels spread to
+    neighbours and jump along labels, so their number grows with the logarithm of a component's
+    width; each round is written to the shared scratch folder. Both ways give the same labels.
     """
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    edges = materialize(edges.select("a", "b").distinct(), tasks)
+    if edges.count() <= bound:
+        return materialize(edges.coalesce(1).mapInArrow(_union, "node long, label long"))
+    both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), tasks)
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), tasks)
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         spread = labels.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("new"))
         jump = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        step = materialize(spread.join(jump, F.col("new") == F.col("_n"), "left").select("node", "label", F.least("new", F.coalesce("_l", "new")).alias("new")))
+        step = materialize(spread.join(jump, F.col("new") == F.col("_n"), "left").select("node", "label", F.least("new", F.coalesce("_l", "new")).alias("new")), tasks)
         changed = step.filter("new < label").limit(1).count()
         labels = step.select("node", F.col("new").alias("label"))
         if not changed:
             return labels
 
 
+def _union(batches):
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(x), root(y)
+            parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(n) for n in nodes], pa.int64())], ["node", "label"])
+
+
 def near_duplicate_classes(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS, least: float = SIMILARITY) -> DataFrame:
     """doc_id and class_id, the smallest doc_id of its class, per row of docs (doc_id, text).
 
@@ -168,56 +195,67 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", bands: int = BAN
     docs = docs.select("doc_id", F.col(text).alias("text"))
     signed = materialize(signatures(docs, "text", bands, rows))
     filled = signed.filter("bands is not null")
-    reps = filled.filter("id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min("bands").alias("bands"))
+    reps = filled.filter("id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("u").alias("u"), F.min("bands").alias("bands"))
     reps = materialize(reps)
-    values = reps.select("rep", F.explode("bands").alias("bucket"))
+    values = reps.select("rep", "n", "u", F.explode("bands").alias("bucket"))
     shared = values.groupBy("bucket").count().filter("count > 1").select("bucket")
     members = materialize(values.join(shared, "bucket"))
+    few = max(24, members.count() // 100_000)  # tasks for narrow rows
     wanted = members.select(F.col("rep").alias("_rep")).distinct()
     sets = unit_sets(docs, "text").join(wanted, F.col("id") == F.col("_rep")).select("id", "size", "units")
     sets = materialize(sets.dropDuplicates(["id"]))
 
-    labels = None  # (node, label) of the reps whose class is not their own
-    degrees = hubs_before = tested = None
-    quiet = turn = 0
-    while quiet < 2:
+    # Of the reps with a link: label of their class, links, and whether they were a hub.
+    state = tested = None
+    turn = 0
+    while True:
         now = members
-        now = now.withColumn("label", F.col("rep")) if labels is None else now.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "bucket", F.coalesce("label", "rep").alias("label"))
-        if turn % 2 and degrees is not None:  # the member with most links that was no hub yet
-            now = now.join(degrees, "rep", "left").join(hubs_before, "rep", "left")
-            order = [F.col("was").isNotNull(), -F.coalesce("links", F.lit(0)), F.xxhash64("rep", "bucket", F.lit(turn)), F.col("rep")]
+        if state is None:
+            now = now.select("rep", "n", "u", "bucket", F.col("rep").alias("label"), F.lit(0).alias("links"), F.lit(False).alias("was"))
         else:
-            order = [F.xxhash64("rep", F.lit(turn)), F.col("rep")]
-        top = F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col("label")))
-        picked = now.groupBy("bucket").agg(top.alias("top"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-        picked = picked.select("bucket", F.col(f"top.o{len(order) - 1}").alias("hub"), F.col("top.label").alias("hub_label"))
-        pairs = now.join(picked, "bucket").filter("label <> hub_label").select(F.col("rep").alias("a"), "hub").distinct()
+            now = now.join(state, F.col("rep") == F.col("node"), "left")
+            now = now.select("rep", "n", "u", "bucket", F.coalesce("label", "rep").alias("label"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("was", F.lit(False)).alias("was"))
+        # One hub by hash, alike in all buckets; later also one by the bucket's own hash, and the member
+        # of most links that was no hub yet.
+        named = [F.col("rep").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("u").alias("hub_u")]
+        drawn = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), *named))
+        middle = F.min(F.struct(F.col("was"), -F.col("links"), F.xxhash64("rep", "bucket", F.lit(turn)).alias("h"), *named))
+        own = F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(-turn)).alias("h"), *named))
+        kinds = {"drawn": drawn, "own": own, "middle": middle} if turn else {"drawn": drawn}
+        picked = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), *[v.alias(k) for k, v in kinds.items()]).filter("low < high")
+        hub = lambda c: F.struct(*[F.col(f"{c}.{x}") for x in ("hub", "hub_label", "hub_n", "hub_u")])
+        picked = picked.select("bucket", F.array(*map(hub, kinds)).alias("hubs"))
+        # Buckets of one class are done for good.
+        now = materialize(now.select("rep", "n", "u", "bucket", "label").join(picked, "bucket"), few)
+        members = now.select("rep", "n", "u", "bucket")
+        pairs = now.select("rep", "n", "u", "label", F.explode("hubs").alias("x")).select("*", "x.*").filter("label <> hub_label")
+        # Sets whose sizes differ by more can't be similar enough.
+        near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(least)
+        pairs = pairs.filter(near("n", "hub_n") | near("u", "hub_u")).select(F.col("rep").alias("a"), "hub").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "hub"], "left_anti")
-        pairs = materialize(pairs)
-        found = materialize(verify(pairs, sets, least))
+        pairs = materialize(pairs, few)
+        found = materialize(verify(pairs, sets, least, max(24, pairs.count() // 1000)))
         both_ways = pairs.unionByName(pairs.select(F.col("hub").alias("a"), F.col("a").alias("hub")))
         tested = both_ways if tested is None else tested.unionByName(both_ways)
-        any_found = found.limit(1).count()
-        quiet = 0 if any_found else quiet + 1
         turn += 1
-        if not any_found:
-            continue
-        links = found.select(F.col("a").alias("rep")).unionByName(found.select(F.col("hub").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
-        degrees = materialize(links if degrees is None else degrees.unionByName(links).groupBy("rep").agg(F.sum("links").alias("links")))
-        hubs = pairs.select(F.col("hub").alias("rep")).distinct().withColumn("was", F.lit(True))
-        hubs_before = materialize(hubs if hubs_before is None else hubs_before.unionByName(hubs).distinct())
+        if not found.limit(1).count():
+            if turn == 1:
+                continue
+            break
         edges = found.select("a", F.col("hub").alias("b"))
-        if labels is not None:  # between classes so far
+        if state is not None:  # between classes so far
             for end in ("a", "b"):
-                edges = edges.join(labels, F.col(end) == F.col("node"), "left").withColumn(end, F.coalesce("label", end)).drop("node", "label")
-        merged = components(edges)
-        if labels is None:
-            labels = merged
-        else:
-            moved = merged.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-            old = labels.join(moved, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label"))
-            labels = materialize(old.unionByName(merged.join(labels.select("node"), "node", "left_anti").select("node", "label")))
+                edges = edges.join(state.select("node", "label"), F.col(end) == F.col("node"), "left").withColumn(end, F.coalesce("label", end)).drop("node", "label")
+        merged = components(edges.filter("a <> b"), few)
+        news = found.select(F.col("a").alias("node"), F.lit(1).alias("links"), F.lit(False).alias("was")).unionByName(found.select(F.col("hub").alias("node"), F.lit(1).alias("links"), F.lit(True).alias("was")))
+        news = news.withColumn("label", F.col("node"))
+        if state is not None:
+            news = news.unionByName(state)
+        news = news.groupBy("node").agg(F.min("label").alias("label"), F.sum("links").cast("int").alias("links"), F.max("was").alias("was"))
+        moved = merged.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+        state = materialize(news.join(moved, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label"), "links", "was"), few)
+    labels = None if state is None else state.select("node", "label")
 
     classes = reps.select("h1", "h2", "rep")
     if labels is not None:
