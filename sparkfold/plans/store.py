@@ -11,6 +11,7 @@ Index joins move fingerprints and digests; payloads are joined last, for the chu
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -33,6 +34,7 @@ SCHEMAS = {
     "pending": "old_fp string, new_fp string, batch_seq long, pair_seq long",
     "metrics": "commit int, backup_id string, logical_chunks long, unique_chunks long, base_chunks long, delta_chunks long, deferred_chunks long, "
     "logical_bytes long, unique_bytes long, base_bytes long, delta_bytes long, lz4_saved long, delta_saved long",
+    "timings": "commit int, kind string, backup_id string, seconds double",
     "passes": "commit int, pairs long, rewritten long, recoded long, stored_before long, stored_after long",
 }
 
@@ -46,6 +48,8 @@ class Options:
     greedy_alpha: float = 0.0
     container_bytes: int = 4 << 20
     least_similar_bytes: int = 0
+    #: Chunks whose fingerprint begins so are never coded as deltas; none by default.
+    plain_prefix: str | None = None
     key: bytes | None = None
 
 
@@ -83,7 +87,7 @@ class Store:
 
     def ingest(self, backup_id: str, chunks: DataFrame) -> None:
         """Adds a backup: chunks has seq (from 0, without gaps) and chunk (binary)."""
-        o, commit = self.options, self.manifest["commit"] + 1
+        o, commit, began = self.options, self.manifest["commit"] + 1, time.time()
         rows = keep(chunks.select(F.col("seq").cast("long").alias("seq"), "chunk").withColumn("fp", fingerprint(F.col("chunk"))).withColumn("chunk_size", F.length("chunk").cast("long")), "ingest")
         narrow = rows.select("seq", "fp", "chunk_size")
         fresh = new_chunks(first_occurrences(narrow, ("seq",)), self.table("chunks"))
@@ -109,12 +113,26 @@ class Store:
             added["sf_index"] = feature_index(bases, order="insert_seq").select("slot", "feature", "base_fp", F.col("base_order"))
         if o.policy == "adaptive":
             added["pending"] = stored.filter("deferred and pair is not null").select(F.col("pair").alias("old_fp"), F.col("fp").alias("new_fp"), (F.lit(commit).cast("long") * (1 << 40) + F.col("batch")).alias("batch_seq"), F.col("seq").alias("pair_seq"))
+        added["timings"] = self._timing("ingest", backup_id, began)
         self._commit(added)
 
+    def ingest_in_parts(self, backup_id: str, chunks: DataFrame, batches: int) -> None:
+        """Adds a backup by commits of so many batches each, so that its chunks can be bases for later ones of it."""
+        size = self.options.batch * batches
+        rows = keep(chunks.select(F.col("seq").cast("long").alias("seq"), "chunk"), "parts")
+        last = rows.agg(F.max("seq")).first()[0]
+        for start in range(0, (last if last is not None else -1) + 1, size):
+            self.ingest(backup_id, rows.filter((F.col("seq") >= start) & (F.col("seq") < start + size)))
+
+    def _timing(self, kind: str, backup_id: str | None, began: float) -> DataFrame:
+        return self.spark.createDataFrame([(self.manifest["commit"] + 1, kind, backup_id, time.time() - began)], SCHEMAS["timings"])
+
     def _coded(self, narrow: DataFrame, fresh: DataFrame) -> DataFrame:
         """fresh with base_fp and encoded (where a delta is to be tried), deferred and pair."""
         o = self.options
         hits = choose_base(fresh.select("fp", "sf", "chunk_size"), index_owners(self.table("sf_index")), least_bytes=o.least_similar_bytes)
+        if o.plain_prefix:
+            hits = hits.filter(~F.col("fp").startswith(o.plain_prefix))
         where = self.table("chunks").select(F.col("fp").alias("base_fp"), F.col("container_id").alias("base_container"))
         hits = hits.join(where, "base_fp").select("fp", "base_fp", "base_container")
         similar = keep(fresh.select("fp", "batch").join(hits, "fp"), "similar")
@@ -188,7 +206,7 @@ class Store:
         From the rank at which ``greedy_alpha`` of the stored bytes is reached, only the index changes. Last, records are moved together and
         small neighbouring containers of bases merge. Depth stays one.
         """
-        o, chunks = self.options, self.table("chunks")
+        o, chunks, began = self.options, self.table("chunks"), time.time()
         pairs = keep(latest_bases(self.table("pending")), "pairs")
         small = chunks.select("fp", "is_delta", "base_fp", "stored_len", "logical_len", "sf", "insert_seq")
         bases = small.filter("not is_delta")
@@ -233,7 +251,7 @@ class Store:
         after = result.agg(F.sum("stored_len")).first()[0] or 0
         row = [(self.manifest["commit"] + 1, pairs.count(), done.filter("fp = old_fp").count(), done.filter("fp <> old_fp").count(), int(total), int(after))]
         log = self.spark.createDataFrame(row, SCHEMAS["passes"])
-        self._commit({"passes": log}, {"chunks": result, "sf_index": index, "pending": self.spark.createDataFrame([], SCHEMAS["pending"])})
+        self._commit({"passes": log, "timings": self._timing("pass", None, began)}, {"chunks": result, "sf_index": index, "pending": self.spark.createDataFrame([], SCHEMAS["pending"])})
 
     def discard_pending(self) -> None:
         self._commit({}, {"pending": self.spark.createDataFrame([], SCHEMAS["pending"])})
