@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import math
 from dataclasses import dataclass
@@ -15,9 +17,14 @@ from pyspark.sql import types as T
 from ..runtime import prepare
 
 
+#: Bytes back beyond which a rolling value hardly depends, bytes examined at once, and the rolling value's limit.
+REACH, SLICE, LIMIT = 64, 1 << 20, 1 << 32
+
+
+@functools.cache
 def gear_table(seed: str = "sparkfold") -> np.ndarray:
-    """A pseudo-random 32-bit value for each byte value, by rule."""
-    return np.array([int.from_bytes(hashlib.sha256(f"{seed}:{i}".encode()).digest()[:4], "little") for i in range(256)], np.uint32)
+    """A pseudo-random value below 2**31 for each byte value, by rule. A rolling value then stays below 2**32."""
+    return np.array([int.from_bytes(hashlib.sha256(f"{seed}:{i}".encode()).digest()[:4], "little") >> 1 for i in range(256)], np.uint64)
 
 
 @dataclass(frozen=True)
@@ -42,25 +49,73 @@ class ChunkSpec:
 SMALL = ChunkSpec(256, 512, 1024)
 
 
+def _candidates(values: np.ndarray, mask: int) -> np.ndarray:
+    """Places whose rolling value may have no bit of mask, whatever stood more than REACH bytes before.
+
+    The value is the whole part of the sum of the gear values halved once per byte, here of the last
+    64 with 32 binary places: with what that drops, the true value is the result or one more.
+    """
+    found = []
+    for start in range(0, len(values), SLICE):
+        from_ = max(0, start - REACH)
+        s = values[from_ : start + SLICE] << np.uint64(32)
+        for m in (1, 2, 4, 8, 16, 32):
+            longer = s.copy()
+            longer[m:] += s[:-m] >> np.uint64(m)
+            s = longer
+        v = s >> np.uint64(32)
+        bits = np.uint64(mask)
+        at = np.flatnonzero(((v & bits) == 0) | (((v + np.uint64(1)) & bits) == 0)) + from_
+        found.append(at[at >= start])
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _rolling(values: np.ndarray, first: int, last: int) -> int:
+    """The rolling value at byte last when it was 0 before byte first.
+
+    It grows with the value before any byte; where it is the same from the least and the greatest
+    value some bytes back, what stood before these does not matter.
+    """
+    back = REACH
+    while True:
+        start = max(first, last - back + 1)
+        low, high = 0, 0 if start == first else LIMIT - 1
+        for g in values[start : last + 1].tolist():
+            low, high = (low >> 1) + g, (high >> 1) + g
+        if low == high:
+            return low
+        back *= 4
+
+
 def cut_points(data: bytes, spec: ChunkSpec = ChunkSpec()) -> list[int]:
     """Ends of the chunks of data.
 
     The rolling value starts at 0 after ``least`` bytes of a chunk: h = (h >> 1) + gear[byte]. A cut
-    follows the first byte at which h has no bit of the mask, or ``most`` bytes.
+    follows the first byte at which h has no bit of the mask, or ``most`` bytes. The first REACH
+    bytes are tried one by one, later ones where ``_candidates`` has them.
     """
-    gear, (strict, loose), normal = gear_table(spec.seed).tolist(), spec.masks, spec.normal
+    values, (strict, loose), normal = gear_table(spec.seed)[np.frombuffer(data, np.uint8)], spec.masks, spec.normal
+    places = _candidates(values, loose).tolist() if len(data) > spec.least else []
     ends, start, n = [], 0, len(data)
     while start < n:
-        left = min(n - start, spec.most)
-        i, h = min(left, spec.least), 0
-        end = left
-        while i < left:
-            h = ((h >> 1) + gear[data[start + i]]) & 0xFFFFFFFF
-            i += 1
-            if not h & (strict if i <= normal else loose):
-                end = i
-                break
-        start += end
+        stop = min(n, start + spec.most)
+        first, end = start + spec.least, stop
+        if first < stop:
+            mask = lambda at, start=start: strict if at - start < normal else loose
+            h, near = 0, min(stop, first + REACH)
+            for at, g in enumerate(values[first:near].tolist(), first):
+                h = (h >> 1) + g
+                if not h & mask(at):
+                    end = at + 1
+                    break
+            else:
+                for k in range(bisect.bisect_left(places, near), len(places)):
+                    if places[k] >= stop:
+                        break
+                    if not _rolling(values, first, places[k]) & mask(places[k]):
+                        end = places[k] + 1
+                        break
+        start = end
         ends.append(start)
     return ends
 

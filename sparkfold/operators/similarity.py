@@ -44,13 +44,17 @@ def with_affinity(chunks: DataFrame, stream: tuple = ("backup_id",), container:
 
 
 def latest_bases(pending: DataFrame) -> DataFrame:
-    """old_fp, new_fp, rank: deferred pairs (old_fp, new_fp, batch_seq, pair_seq) made a star.
+    """old_fp, new_fp, n: deferred pairs (old_fp, new_fp, batch_seq, pair_seq) made a star.
 
     The last new chunk of an old base takes its place; earlier new ones become pairs of (earlier, last).
-    Pairs are ranked by the number of pairs of their old base, most first.
+    n is the number of pairs that the old base had.
     """
     last = pending.groupBy("old_fp").agg(F.max_by("new_fp", F.struct("batch_seq", "pair_seq")).alias("last_fp"), F.count("*").alias("n"))
     joined = pending.join(last, "old_fp")
     stars = joined.filter("new_fp <> last_fp").select(F.col("new_fp").alias("old_fp"), F.col("last_fp").alias("new_fp"), F.lit(0).cast("long").alias("n"))
-    pairs = last.select("old_fp", F.col("last_fp").alias("new_fp"), "n").unionByName(stars).filter("old_fp <> new_fp").distinct()
+    return last.select("old_fp", F.col("last_fp").alias("new_fp"), "n").unionByName(stars).filter("old_fp <> new_fp").distinct()
+
+
+def rank_pairs(pairs: DataFrame) -> DataFrame:
+    """Adds ``rank``: pairs whose old base had most pairs first. One order over all pairs, of keys alone."""
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "old_fp", "new_fp")))

@@ -23,7 +23,7 @@ from ..functions.scalars import container_name, decrypt, encrypt, fingerprint
 from ..functions.superfeatures import super_feature
 from ..operators.containers import merge_pairs, pack_exactly
 from ..operators.dedup import BATCH, first_occurrences, new_chunks
-from ..operators.similarity import choose_base, feature_index, index_owners, latest_bases, poor_locality
+from ..operators.similarity import choose_base, feature_index, index_owners, latest_bases, poor_locality, rank_pairs
 from ..runtime import keep, prepare, read_text, write_text
 
 POLICIES = ("dedup_only", "inline", "inline_no_offline", "container_affinity", "adaptive")
@@ -207,7 +207,8 @@ class Store:
         small neighbouring containers of bases merge. Depth stays one.
         """
         o, chunks, began = self.options, self.table("chunks"), time.time()
-        pairs = keep(latest_bases(self.table("pending")), "pairs")
+        pairs = latest_bases(self.table("pending"))
+        pairs = keep(rank_pairs(pairs) if o.greedy_alpha else pairs.withColumn("rank", F.lit(0)), "pairs")
         small = chunks.select("fp", "is_delta", "base_fp", "stored_len", "logical_len", "sf", "insert_seq")
         bases = small.filter("not is_delta")
         pairs = pairs.join(bases.select(F.col("fp").alias("old_fp"), F.col("stored_len").alias("old_len")), "old_fp").join(bases.select(F.col("fp").alias("new_fp")), "new_fp")
@@ -221,8 +222,9 @@ class Store:
         fits = F.when(F.col("fp") == F.col("old_fp"), F.col("size") <= F.col("before")).otherwise(F.col("size") <= F.col("chunk_size"))
         whole = coded.groupBy("old_fp", "rank").agg(F.min(fits).alias("fits"), F.sum(F.col("before") - F.col("size")).alias("saved")).filter("fits")
         total = chunks.agg(F.coalesce(F.sum("stored_len"), F.lit(0))).first()[0]
-        earlier = Window.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-        whole = whole.withColumn("left", F.lit(total) - F.coalesce(F.sum("saved").over(earlier), F.lit(0))).filter(F.col("left") > F.lit(o.greedy_alpha * total))
+        if o.greedy_alpha:
+            earlier = Window.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+            whole = whole.withColumn("left", F.lit(total) - F.coalesce(F.sum("saved").over(earlier), F.lit(0))).filter(F.col("left") > F.lit(o.greedy_alpha * total))
         done = keep(coded.join(whole.select("old_fp"), "old_fp", "left_semi"), "done")
         # C7: rewritten records go to new containers, in order of their place.
         fresh = chunks.drop("payload", "is_delta", "base_fp", "stored_len", "container_id", "offset").join(done.select("fp", F.col("new_fp").alias("base_fp"), "encoded", F.col("size").alias("stored_len")), "fp")

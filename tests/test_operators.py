@@ -70,7 +70,7 @@ def test_affinity_needs_more_than_the_threshold(spark):
 
 def test_latest_bases(spark):
     rows = [("o", "n1", 0, 0), ("o", "n2", 0, 1), ("o", "n3", 1, 0), ("p", "m", 0, 0)]
-    out = [(r.old_fp, r.new_fp, r.n, r["rank"]) for r in similarity.latest_bases(spark.createDataFrame(rows, "old_fp string, new_fp string, batch_seq long, pair_seq long")).orderBy("rank").collect()]
+    out = [(r.old_fp, r.new_fp, r.n, r["rank"]) for r in similarity.rank_pairs(similarity.latest_bases(spark.createDataFrame(rows, "old_fp string, new_fp string, batch_seq long, pair_seq long"))).orderBy("rank").collect()]
     assert out == [("o", "n3", 3, 1), ("p", "m", 1, 2), ("n1", "n3", 0, 3), ("n2", "n3", 0, 4)]
 
 
