@@ -2,11 +2,10 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from pyspark.sql import functions as F  # noqa: E402
-
-from tests.llm.conftest import prose  # noqa: E402
+import corpus_pipeline
+from tests.llm.conftest import prose
 
 
 @pytest.fixture(scope="module")
