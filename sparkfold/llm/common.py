@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import itertools
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +22,37 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 
 
+#: Has the C library return large blocks at once, and Arrow allocate through it.
+WORKER_MEMORY = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "16777216", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Rows in a batch for Python workers.
+ROWS_AT_ONCE = 1000
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Lets Python workers import this package from the folder that the driver has it in."""
+    """Lets Python workers import this package from the folder that the driver has it in, bounds the rows
+    that a worker gets at once, as texts may be long, and has workers give freed memory back."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_AT_ONCE:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
+
+
+#: Emptied by ``tidied``: what operators keep in a worker while a task runs.
+CACHES: list[dict] = []
+
+
+def tidied(batches: Iterable) -> Iterator:
+    """The batches of a task; afterwards the worker, which may idle for long, drops its caches."""
+    yield from batches
+    for cache in CACHES:
+        cache.clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can trim
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,11 +105,11 @@ def row_key(df: DataFrame, text: str = "text") -> tuple:
 class ChunkCoder:
     """Codes white-space separated chunks of texts as integer ids, each distinct chunk of a slice once.
 
-    ``encode`` maps a list of distinct chunks to one id sequence each. Memory is bounded: texts go
+    ``encode`` maps a list of distinct chunks to the ids of each, as little-endian 32-bit bytes. Memory is bounded: texts go
     through in slices of about ``slice_bytes``.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], prepare: Callable[[pa.Array], pa.Array] | None = None, slice_bytes: int = 8 << 20):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], prepare: Callable[[pa.Array], pa.Array] | None = None, slice_bytes: int = 2 << 20):
         self.encode, self.prepare, self.slice_bytes = encode, prepare or (lambda texts: texts), slice_bytes
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +117,8 @@ class ChunkCoder:
         ends = words.offsets.to_numpy().astype(np.int64)
         coded = words.values.dictionary_encode()
         ids = self.encode(coded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
         starts = np.cumsum(lengths) - lengths
         codes = coded.indices.to_numpy()
         each = lengths[codes]

@@ -22,10 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkCoder, ship_code
+from .common import CACHES, ChunkCoder, ship_code, tidied
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _CODERS: dict[str, ChunkCoder] = {}
+CACHES.append(_CODERS)
 
 
 #: ASCII punctuation without the apostrophe, which can begin a pre-token of its own kind.
@@ -40,7 +41,7 @@ class WordTokenizer:
     by the suffix that marks the last token of a pre-token; other words go through one by one.
     """
 
-    def __init__(self, path: str, memo_limit: int = 500_000):
+    def __init__(self, path: str, memo_limit: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -54,11 +55,11 @@ class WordTokenizer:
         self.folds = self._ids(["A", "\u00c4"]) == self._ids(["a", "\u00e4"]) and not any(t.isalpha() for t in added)
         self.heads = {t[:2] for t in added}
         self.memo_limit = memo_limit
-        self.words: dict[str, tuple] = {}
-        self.rest: dict[str, tuple] = {"": ()}
+        self.words: dict[str, bytes] = {}
+        self.rest: dict[str, bytes] = {"": b""}
 
-    def _ids(self, words: list[str]) -> list[tuple]:
-        return [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _ids(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def prepare(self, texts: pa.Array) -> pa.Array:
         """Lower-cases ASCII first where the tokenizer does so anyway and no added token may occur."""
@@ -66,13 +67,13 @@ class WordTokenizer:
             return pc.ascii_lower(texts)
         return texts
 
-    def __call__(self, chunks: list[str]) -> list[tuple]:
+    def __call__(self, chunks: list[str]) -> list[bytes]:
         words, rest, tail = self.words, self.rest, self.tail
         if len(words) > self.memo_limit:
             words.clear()
         if len(rest) > self.memo_limit:
             rest.clear()
-            rest[""] = ()
+            rest[""] = b""
         bare = [c.rstrip(tail) for c in chunks]
         ends = [c[len(w) :] for c, w in zip(chunks, bare, strict=True)]
         new_rest = set(ends).difference(rest)
@@ -95,8 +96,8 @@ class WordTokenizer:
         ids = self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) == len(new):
-            starts = [0, *ends[:-1].tolist()]
-            self.words.update((w, tuple(ids[a:b])) for w, a, b in zip(new, starts, ends.tolist(), strict=True))
+            flat, stops = np.array(ids, "<u4").tobytes(), (4 * ends).tolist()
+            self.words.update((w, flat[a:b]) for w, a, b in zip(new, [0, *stops[:-1]], stops, strict=True))
         else:  # some letter run is no single pre-token here
             self.words.update(zip(new, self._ids(new), strict=True))
 
@@ -105,7 +106,7 @@ def tokenizer_coder(path: str) -> ChunkCoder:
     """A coder for a tokenizer file whose pre-tokens never cross ASCII white space and drop it."""
     if path not in _CODERS:
         words = WordTokenizer(path)
-        _CODERS[path] = ChunkCoder(words, words.prepare)
+        _CODERS[path] = ChunkCoder(words, words.prepare, slice_bytes=4 << 20)
     return _CODERS[path]
 
 
@@ -251,7 +252,7 @@ def pack(
         code = coder(tokenizer)
         packer = _Packer(capacity, block_windows, TaskContext.get().partitionId())
         rows: list[tuple] = []
-        for batch in batches:
+        for batch in tidied(batches):
             doc_ids = batch.column(0).to_pylist()
             for i, ids in code(batch.column(1).to_pylist()):
                 rows.extend(packer.add(doc_ids[i], np.append(ids, np.uint32(end_id))))

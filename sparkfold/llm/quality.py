@@ -18,22 +18,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ChunkCoder, ship_code
+from .common import CACHES, ChunkCoder, ship_code, tidied
 
 SCALE = 8.0
 PARTS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 _CODERS: dict[str, ChunkCoder] = {}
+CACHES.append(_CODERS)
 
 
 class _Tokens:
     """Token hashes of chunks, by a bounded memo."""
 
-    def __init__(self, memo_limit: int = 300_000):
+    def __init__(self, memo_limit: int = 100_000):
         self.memo, self.memo_limit = {}, memo_limit
         self.capitals = zlib.crc32(b"\0capitals") & ~1
 
-    def __call__(self, chunks: list[str]) -> list[tuple]:
+    def __call__(self, chunks: list[str]) -> list[bytes]:
         memo = self.memo
         if len(memo) > self.memo_limit:
             memo.clear()
@@ -43,7 +45,7 @@ class _Tokens:
                 ids.append(zlib.crc32(part.lower().encode()) & ~1 | part.isalpha())  # odd: a word
                 if len(part) > 1 and part.isupper():
                     ids.append(self.capitals)
-            memo[chunk] = tuple(ids)
+            memo[chunk] = np.array(ids, "<u4").tobytes()
         return [memo[c] for c in chunks]
 
 
@@ -107,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, bits: int = 18)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "_label", "text")
 
     def featurise(batches):
-        for batch in batches:
+        for batch in tidied(batches):
             code, labels_ = _coder(), batch.column(1).to_pylist()
             rows_ = [(k, labels_[k], ngram_features(ids, bits).astype("<i4").tobytes()) for k, ids in code(batch.column(2).to_pylist())]
             ids_ = batch.column(0).to_pylist()
@@ -124,25 +126,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, bits: int = 18)
 
 
 def score(docs: DataFrame, weights: np.ndarray, bits: int = 18) -> DataFrame:
-    """docs with ``score``, the probability of label 1. A null or empty text scores by the bias alone."""
+    """docs (with a string column text) and ``score``, the probability of label 1. A null or empty text
+    scores by the bias alone."""
     spark = docs.sparkSession
     ship_code(spark)
     shared = spark.sparkContext.broadcast(weights.astype(np.float32))  # 2**bits floats at any size of corpus
 
     def run(batches):
         w = shared.value.astype(np.float64)
-        for batch in batches:
+        for batch in tidied(batches):
             odds = np.zeros(batch.num_rows)
-            code = _coder()
-            for k, ids in code(batch.column("_text").to_pylist()):
+            for k, ids in _coder()(batch.column("text").to_pylist()):
                 features = ngram_features(ids, bits)
                 odds[k] = w[features].sum() * SCALE / max(1, len(features)) + w[-1]
-            yield pa.RecordBatch.from_arrays([*[c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "_text"], pa.array(1 / (1 + np.exp(-np.clip(odds, -30, 30))))], [*[n for n in batch.schema.names if n != "_text"], "score"])
+            yield batch.append_column("score", pa.array(1 / (1 + np.exp(-np.clip(odds, -30, 30)))))
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.drop("score").schema.fields, T.StructField("score", T.DoubleType())])
-    return docs.drop("score").withColumn("_text", F.col("text").cast("string")).mapInArrow(run, schema)
+    docs = docs.drop("score")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, keep: tuple = ()) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_code
+from .common import ship_code, tidied
 from .words import P1, mix, powers, slices
 
 GRAM, SUBS, MOST = 12, 16, 64
@@ -264,7 +264,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = 50) -> Data
 
     def parse(batches):
         held = _Dictionary(buckets, width)
-        for batch in batches:
+        for batch in tidied(batches):
             for first, texts in slices(batch.column(1).to_pylist()):
                 held.add(*keyed(batch.column(0), texts, first), texts)
                 if held.held >= FLUSH_BYTES:
@@ -273,7 +273,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = 50) -> Data
 
     def bundle(batches):
         parts, count = [], 0
-        for batch in batches:
+        for batch in tidied(batches):
             for first, texts in slices(batch.column(1).to_pylist()):
                 ids, variants = keyed(batch.column(0), texts, first)
                 null = np.array(batch.column(0).slice(first, len(texts)).is_null().to_numpy(zero_copy_only=False), np.uint8)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .common import CACHES
+
 P1, P2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -11,6 +13,7 @@ _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 _VALUE = _FOLD.astype(np.uint64) + np.uint64(1)
 _POWERS: dict[int, np.ndarray] = {}
+CACHES.append(_POWERS)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,7 +90,7 @@ def shingles(words: np.ndarray, upto: np.ndarray, width: int = 5) -> tuple[np.nd
     return owner, hashes, occurrence
 
 
-def slices(texts: list[str | None], size: int = 2 << 20):
+def slices(texts: list[str | None], size: int = 1 << 20):
     """(first, list of UTF-8 texts) of about size bytes each; null counts as empty."""
     batch, held, first = [], 0, 0
     for i, t in enumerate(texts):
