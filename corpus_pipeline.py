@@ -22,10 +22,22 @@ from sparkfold.llm.queries import default_tokenizer
 QUALITY = 0.7
 
 
+def _folded(docs: DataFrame, *, named: tuple = ("doc_id", "text")) -> DataFrame:
+    """doc_id, text and, in one column, all the others: names that an operator uses itself can't clash."""
+    return docs.select(*named, F.struct(*[c for c in docs.columns if c not in named]).alias("_rest"))
+
+
+def _unfolded(docs: DataFrame, columns: list[str], named: tuple = ("doc_id", "text")) -> DataFrame:
+    """The columns again, n_chars brought up to date."""
+    out = docs.select(*[F.col(c) if c in named else F.col("_rest")[c].alias(c) for c in columns])
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*columns) if "n_chars" in columns else out
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at least QUALITY; it is fitted on this table's labels."""
     weights = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, weights).filter(F.col("score") >= QUALITY).drop("score")
+    scored = score(_folded(docs), weights).filter(F.col("score") >= QUALITY)
+    return scored.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_rest")[c].alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,33 +45,33 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     other row's class stay."""
     classes = materialize(near_duplicate_classes(docs))
     kept = classes.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     if kept.filter("_rows > 1").limit(1).count():  # repeated rows
         out = out.dropDuplicates(["doc_id", "text"])
     if classes.filter("doc_id is null and class_id is null").limit(1).count():
         out = out.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
-    return out.select(*docs.columns)
+    return out
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by the name of its kind."""
-    out = redact(find_pii(docs)).drop("spans")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return _unfolded(redact(find_pii(_folded(docs))), docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document as often as it is taken whole, and its first words where it is taken in part."""
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    taken = mix(keyed, keep=("_key",)).filter("taken > 0").groupBy("doc_id", "_key").agg(F.sum("taken").alias("taken"), F.first("size").alias("size"), F.count("*").alias("_rows"))
+    key = F.xxhash64("text").alias("_key")
+    taken = mix(docs.select("doc_id", "source", "text", key), keep=("_key",)).filter("taken > 0").groupBy("doc_id", "_key").agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size"), F.count("*").alias("_rows"))
     taken = materialize(taken).withColumnsRenamed({"doc_id": "_id", "_key": "_k"})
+    keyed = _folded(docs).select("*", key)
     if taken.filter("_rows > 1").limit(1).count():  # repeated rows are taken together
         keyed = keyed.dropDuplicates(["doc_id", "_key"])
     joined = keyed.join(taken, (keyed["_key"] == taken["_k"]) & keyed["doc_id"].eqNullSafe(taken["_id"]))
-    turns = joined.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))))
-    rest = F.col("taken") - (F.col("_turn") - 1) * F.col("size")
+    turns = joined.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))))
+    rest = F.col("_taken") - (F.col("_turn") - 1) * F.col("_size")
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORDS), 0), F.lit(1), rest.cast("int")), " ")
-    cut = turns.withColumn("text", F.when(rest >= F.col("size"), F.col("text")).otherwise(first))
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    cut = turns.withColumn("text", F.when(rest >= F.col("_size"), F.col("text")).otherwise(first))
+    return _unfolded(cut, docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ Signatures are cut into bands; a bucket is a band's value. In rounds, every buck
 as its hub, and members whose class differs from the hub's are compared with it on their full
 shingle sets; those of similarity 0.8 or more (weighted, or plain Jaccard) are linked, and linked
 classes merge. Hubs are drawn by hash, and after the first round also the member of most links that was no
-hub before, so a text in the middle of its copies becomes hub next. Rounds end when no hub of any
-kind links anything more. A bucket is never paired with itself, joins on hot buckets and hubs are plain
+hub before, so a text in the middle of its copies becomes hub next. A bucket is done when three rounds
+of its hubs link nothing, however large the corpus; the rounds end when all are. A bucket is never paired with itself, joins on hot buckets and hubs are plain
 sort-merge joins whose large partitions Spark splits, and links and classes stay on the executors.
 """
 
@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship_code
+from .common import materialize, ship_code, tidied
 from .words import mix, sequence_hashes, shingles, slices, word_hashes
 
 BANDS, ROWS, WIDTH, SIMILARITY = 24, 5, 5, 0.8
-#: Ids that may be broadcast to pick their shingle sets.
+#: Rounds without a link after which a bucket is done; a round has three hubs, the first one.
+QUIET = 3
+#: Ids, or pairs of ids, that may be broadcast to their texts or shingle sets.
 FEW_IDS = 100_000
 
 
@@ -79,7 +81,7 @@ def signatures(docs: DataFrame, text: str, bands: int, rows: int) -> DataFrame:
     ship_code(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in tidied(batches):
             ids = batch.column(0)
             for first, texts in slices(batch.column(1).to_pylist()):
                 words, upto = word_hashes(texts)
@@ -99,7 +101,7 @@ def unit_sets(docs: DataFrame, text: str) -> DataFrame:
     ship_code(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in tidied(batches):
             ids = batch.column(0)
             for first, texts in slices(batch.column(1).to_pylist()):
                 words, upto = word_hashes(texts)
@@ -130,11 +132,12 @@ def similar(a: bytes, n: int, b: bytes, m: int, least: float) -> bool:
 
 def verify(pairs: DataFrame, sets: DataFrame, least: float, tasks: int) -> DataFrame:
     """The pairs (a, hub) whose shingle sets are similar enough, compared in at most ``tasks`` tasks."""
-    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("hub").alias("id"))).distinct()
-    if asked.limit(FEW_IDS + 1).count() <= FEW_IDS:  # else the sets are joined whole
-        sets = sets.join(F.broadcast(asked), "id", "left_semi")
-    left = pairs.join(sets.withColumnsRenamed({"id": "a", "size": "n", "units": "x"}), "a")
-    both = left.join(sets.withColumnsRenamed({"id": "hub", "size": "m", "units": "y"}), "hub")
+    mine, hubs = (sets.withColumnsRenamed({"id": i, "size": n, "units": u}) for i, n, u in (("a", "n", "x"), ("hub", "m", "y")))
+    if pairs.limit(FEW_IDS + 1).count() <= FEW_IDS:  # a bounded number of pairs goes to the sets, more meet them in a shuffle
+        hubs = hubs.join(F.broadcast(pairs.select("hub").distinct()), "hub", "left_semi")
+        both = mine.join(F.broadcast(pairs), "a").join(hubs, "hub")
+    else:
+        both = pairs.join(mine, "a").join(hubs, "hub")
 
     def run(batches):
         for batch in batches:
@@ -199,10 +202,12 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", bands: int = BAN
     reps = materialize(reps)
     values = reps.select("rep", "n", "u", F.explode("bands").alias("bucket"))
     shared = values.groupBy("bucket").count().filter("count > 1").select("bucket")
-    members = materialize(values.join(shared, "bucket"))
+    members = materialize(values.join(shared, "bucket").withColumn("quiet", F.lit(0)))
     few = max(24, members.count() // 100_000)  # tasks for narrow rows
-    wanted = members.select(F.col("rep").alias("_rep")).distinct()
-    sets = unit_sets(docs, "text").join(wanted, F.col("id") == F.col("_rep")).select("id", "size", "units")
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    # A bounded number of ids picks their texts before the shuffle; more are joined.
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW_IDS else wanted
+    sets = unit_sets(docs.join(wanted, "doc_id", "left_semi"), "text")
     sets = materialize(sets.dropDuplicates(["id"]))
 
     # Of the reps with a link: label of their class, links, and whether they were a hub.
@@ -211,10 +216,10 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", bands: int = BAN
     while True:
         now = members
         if state is None:
-            now = now.select("rep", "n", "u", "bucket", F.col("rep").alias("label"), F.lit(0).alias("links"), F.lit(False).alias("was"))
+            now = now.select("rep", "n", "u", "bucket", "quiet", F.col("rep").alias("label"), F.lit(0).alias("links"), F.lit(False).alias("was"))
         else:
             now = now.join(state, F.col("rep") == F.col("node"), "left")
-            now = now.select("rep", "n", "u", "bucket", F.coalesce("label", "rep").alias("label"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("was", F.lit(False)).alias("was"))
+            now = now.select("rep", "n", "u", "bucket", "quiet", F.coalesce("label", "rep").alias("label"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("was", F.lit(False)).alias("was"))
         # One hub by hash, alike in all buckets; later also one by the bucket's own hash, and the member
         # of most links that was no hub yet.
         named = [F.col("rep").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("u").alias("hub_u")]
@@ -226,8 +231,7 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", bands: int = BAN
         hub = lambda c: F.struct(*[F.col(f"{c}.{x}") for x in ("hub", "hub_label", "hub_n", "hub_u")])
         picked = picked.select("bucket", F.array(*map(hub, kinds)).alias("hubs"))
         # Buckets of one class are done for good.
-        now = materialize(now.select("rep", "n", "u", "bucket", "label").join(picked, "bucket"), few)
-        members = now.select("rep", "n", "u", "bucket")
+        now = materialize(now.select("rep", "n", "u", "bucket", "quiet", "label").join(picked, "bucket"), few)
         pairs = now.select("rep", "n", "u", "label", F.explode("hubs").alias("x")).select("*", "x.*").filter("label <> hub_label")
         # Sets whose sizes differ by more can't be similar enough.
         near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(least)
@@ -239,8 +243,13 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", bands: int = BAN
         both_ways = pairs.unionByName(pairs.select(F.col("hub").alias("a"), F.col("a").alias("hub")))
         tested = both_ways if tested is None else tested.unionByName(both_ways)
         turn += 1
+        # A bucket is done when QUIET rounds in a row no hub of it linked anything, in whatever bucket.
+        heard = now.select("bucket", F.explode("hubs").alias("x")).select("bucket", "x.hub").distinct().join(found.select("hub").distinct(), "hub", "left_semi").select("bucket").distinct().withColumn("_heard", F.lit(True))
+        members = now.select("rep", "n", "u", "bucket", "quiet").join(heard, "bucket", "left")
+        members = members.select("rep", "n", "u", "bucket", F.when(F.col("_heard").isNull(), F.col("quiet") + 1).otherwise(0).alias("quiet")).filter(F.col("quiet") < QUIET)
+        members = materialize(members, few)
         if not found.limit(1).count():
-            if turn == 1:
+            if members.limit(1).count():
                 continue
             break
         edges = found.select("a", F.col("hub").alias("b"))
