@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkfold.llm.common import materialize, ship_code, table
 from sparkfold.llm.mixing import WORDS, mix
-from sparkfold.llm.near_dedup import near_duplicate_classes
+from sparkfold.llm.near_dedup import FEW_IDS, near_duplicate_classes
 from sparkfold.llm.packing import pack
 from sparkfold.llm.pii import find_pii, redact
 from sparkfold.llm.quality import fit, score
@@ -44,9 +44,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each near-duplicate class. Rows without a doc_id that are in no
     other row's class stay."""
     classes = materialize(near_duplicate_classes(docs))
-    kept = classes.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if kept.filter("_rows > 1").limit(1).count():  # repeated rows
+    ids = materialize(classes.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("class_id")).alias("_stays"), F.count("*").alias("_rows")))
+    gone, named = ids.filter("not _stays").select("doc_id"), docs.filter("doc_id is not null")
+    if gone.limit(FEW_IDS + 1).count() <= FEW_IDS:  # a bounded number of ids goes to the texts, more meet them in a shuffle
+        out = named.join(F.broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
+    else:
+        out = named.join(ids.filter("_stays").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if ids.filter("_stays and _rows > 1").limit(1).count():  # repeated rows
         out = out.dropDuplicates(["doc_id", "text"])
     if classes.filter("doc_id is null and class_id is null").limit(1).count():
         out = out.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
