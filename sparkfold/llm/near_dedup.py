@@ -20,6 +20,7 @@ sort-merge joins whose large partitions Spark splits, and links and classes stay
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ BANDS, ROWS, WIDTH, SIMILARITY = 24, 5, 5, 0.8
 QUIET = 3
 #: Ids, or pairs of ids, that may be broadcast to their texts or shingle sets.
 FEW_IDS = 100_000
+#: Tokens in a batch from Python workers.
+TOKENS_AT_ONCE = 500_000
 
 
 def dart_minhash(owner: np.ndarray, units: np.ndarray, n_texts: int, k: int) -> np.ndarray:
@@ -148,6 +151,53 @@ def verify(pairs: DataFrame, sets: DataFrame, least: float, tasks: int) -> DataF
     return both.select("a", "hub", "n", "x", "m", "y").coalesce(tasks).mapInArrow(run, "a long, hub long")
 
 
+def _tokens(sets: DataFrame) -> DataFrame:
+    """id, token per member of the sets; tokens of 1 << 32 and above are of repeated shingles."""
+
+    def run(batches):
+        names, owners, size = [], [], 0
+        done = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(owners)), pa.array(np.concatenate(names))], ["id", "token"])
+        for batch in tidied(batches):
+            for i, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = np.frombuffer(blob, np.uint32).astype(np.int64)
+                names.append(np.concatenate([np.unique(x[:n]), np.unique(x[n:]) | (1 << 32)]))
+                owners.append(np.full(len(names[-1]), i, np.int64))
+                size += len(names[-1])
+                if size >= TOKENS_AT_ONCE:
+                    yield done()
+                    names, owners, size = [], [], 0
+        if size:
+            yield done()
+
+    return sets.select("id", "size", "units").mapInArrow(run, "id long, token long")
+
+
+def unseen_pairs(reps: DataFrame, sets: DataFrame, least: float, tasks: int) -> DataFrame:
+    """Pairs (a, hub) of reps (rep, n, u, label) of different labels, among them all that are similar enough.
+
+    A set similarity join without loss: tokens are in order of the number of texts that have them, rarest
+    first. Two texts that share ceil(least * size) tokens share one of the first size - ceil(least * size) + 1
+    of both (prefix filter), and where they first meet, enough tokens are left (positional filter). Tokens
+    of one text alone can't be shared, so they use up the prefix and make no rows; texts that differ by
+    more than the prefix have none. Kind 0 joins distinct shingles, kind 1 all of them.
+    """
+    few = F.broadcast(reps.select(F.col("rep").alias("id"))) if reps.count() <= FEW_IDS else reps.select(F.col("rep").alias("id"))
+    rows = _tokens(sets.join(few, "id", "left_semi"))
+    seen = rows.groupBy("token").agg(F.count("*").alias("texts")).filter("texts > 1")
+    ordered = rows.join(seen, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("texts", "token"))).alias("every"))
+    ordered = ordered.withColumn("once", F.filter("every", lambda x: x["token"] < F.lit(1 << 32)))
+    ordered = ordered.join(reps, F.col("id") == F.col("rep")).select("rep", "label", F.array(*[F.struct(F.lit(k).alias("kind"), F.col(size).alias("size"), F.col(c).alias("tokens"), F.ceil(F.col(size) * least - 1e-6).cast("int").alias("need")) for k, size, c in ((0, "n", "once"), (1, "u", "every"))]).alias("kinds"))
+    ordered = ordered.select("rep", "label", F.explode("kinds").alias("x")).select("rep", "label", "x.*").withColumn("length", F.size("tokens")).filter("length >= need")
+    heads = ordered.select("rep", "label", "kind", "size", "length", F.posexplode(F.slice("tokens", F.lit(1), F.col("length") - F.col("need") + 1)).alias("at", "x"))
+    heads = heads.select("kind", F.col("x.token").alias("token"), "label", F.struct("rep", "size", (F.col("length") - F.col("at")).alias("left")).alias("who"))
+    # A class is one row of a token, so that its members are not paired with each other.
+    classes = materialize(heads.groupBy("kind", "token", "label").agg(F.collect_list("who").alias("who")), tasks)
+    both = classes.join(classes.select("kind", "token", F.col("label").alias("other"), F.col("who").alias("those")), ["kind", "token"]).filter("label < other")
+    both = both.select(F.explode("who").alias("x"), "those").select("x", F.explode("those").alias("y"))
+    both = both.filter(F.least("x.left", "y.left") >= (F.col("x.size") + F.col("y.size")) * F.lit(least / (1 + least)) - 1e-6)
+    return both.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("hub")).distinct()
+
+
 def components(edges: DataFrame, tasks: int | None = None, bound: int = 10_000) -> DataFrame:
     """(node, label) of the nodes of edges (a, b): label is the least node of the connected component.
 
@@ -187,6 +237,22 @@ def _union(batches):
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(n) for n in nodes], pa.int64())], ["node", "label"])
 
 
+def merged(state: DataFrame | None, found: DataFrame, tasks: int) -> DataFrame:
+    """state (node, label, links, was) with the links found (a, hub), and the classes they join merged."""
+    edges = found.select("a", F.col("hub").alias("b"))
+    if state is not None:  # between classes so far
+        for end in ("a", "b"):
+            edges = edges.join(state.select("node", "label"), F.col(end) == F.col("node"), "left").withColumn(end, F.coalesce("label", end)).drop("node", "label")
+    moved = components(edges.filter("a <> b"), tasks)
+    news = found.select(F.col("a").alias("node"), F.lit(1).alias("links"), F.lit(False).alias("was")).unionByName(found.select(F.col("hub").alias("node"), F.lit(1).alias("links"), F.lit(True).alias("was")))
+    news = news.withColumn("label", F.col("node"))
+    if state is not None:
+        news = news.unionByName(state)
+    news = news.groupBy("node").agg(F.min("label").alias("label"), F.sum("links").cast("int").alias("links"), F.max("was").alias("was"))
+    moved = moved.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+    return materialize(news.join(moved, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label"), "links", "was"), tasks)
+
+
 def near_duplicate_classes(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS, least: float = SIMILARITY) -> DataFrame:
     """doc_id and class_id, the smallest doc_id of its class, per row of docs (doc_id, text).
 
@@ -212,7 +278,7 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", bands: int = BAN
 
     # Of the reps with a link: label of their class, links, and whether they were a hub.
     state = tested = None
-    turn = 0
+    turn, dropped = 0, []
     while True:
         now = members
         if state is None:
@@ -243,27 +309,32 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", bands: int = BAN
         both_ways = pairs.unionByName(pairs.select(F.col("hub").alias("a"), F.col("a").alias("hub")))
         tested = both_ways if tested is None else tested.unionByName(both_ways)
         turn += 1
-        # A bucket is done when QUIET rounds in a row no hub of it linked anything, in whatever bucket.
+        # A bucket's rounds are over when QUIET in a row no hub of it linked anything, in whatever bucket.
         heard = now.select("bucket", F.explode("hubs").alias("x")).select("bucket", "x.hub").distinct().join(found.select("hub").distinct(), "hub", "left_semi").select("bucket").distinct().withColumn("_heard", F.lit(True))
         members = now.select("rep", "n", "u", "bucket", "quiet").join(heard, "bucket", "left")
-        members = members.select("rep", "n", "u", "bucket", F.when(F.col("_heard").isNull(), F.col("quiet") + 1).otherwise(0).alias("quiet")).filter(F.col("quiet") < QUIET)
-        members = materialize(members, few)
+        members = members.select("rep", "n", "u", "bucket", F.when(F.col("_heard").isNull(), F.col("quiet") + 1).otherwise(0).alias("quiet"))
+        aged = materialize(members, few)
+        members = aged.filter(F.col("quiet") < QUIET)
+        dropped.append(aged.filter(F.col("quiet") >= QUIET))
         if not found.limit(1).count():
             if members.limit(1).count():
                 continue
             break
-        edges = found.select("a", F.col("hub").alias("b"))
-        if state is not None:  # between classes so far
-            for end in ("a", "b"):
-                edges = edges.join(state.select("node", "label"), F.col(end) == F.col("node"), "left").withColumn(end, F.coalesce("label", end)).drop("node", "label")
-        merged = components(edges.filter("a <> b"), few)
-        news = found.select(F.col("a").alias("node"), F.lit(1).alias("links"), F.lit(False).alias("was")).unionByName(found.select(F.col("hub").alias("node"), F.lit(1).alias("links"), F.lit(True).alias("was")))
-        news = news.withColumn("label", F.col("node"))
-        if state is not None:
-            news = news.unionByName(state)
-        news = news.groupBy("node").agg(F.min("label").alias("label"), F.sum("links").cast("int").alias("links"), F.max("was").alias("was"))
-        moved = merged.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        state = materialize(news.join(moved, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label"), "links", "was"), few)
+        state = merged(state, found, few)
+    # What the hubs left: reps of buckets that still have several classes.
+    rest = reduce(DataFrame.unionByName, dropped) if dropped else members.limit(0)
+    labelled = lambda df: df.withColumn("label", F.col("rep")) if state is None else df.join(state, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep"))
+    rest = labelled(rest.select("rep", "n", "u", "bucket")).select("rep", "n", "u", "bucket", "label")
+    mixed = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
+    rest = materialize(rest.join(mixed, "bucket", "left_semi").select("rep", "n", "u", "label").distinct(), few)
+    if rest.limit(1).count():
+        pairs = unseen_pairs(rest, sets, least, few)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "hub"], "left_anti")
+        pairs = materialize(pairs, few)
+        found = materialize(verify(pairs, sets, least, max(24, pairs.count() // 1000)))
+        if found.limit(1).count():
+            state = merged(state, found, few)
     labels = None if state is None else state.select("node", "label")
 
     classes = reps.select("h1", "h2", "rep")

@@ -109,3 +109,29 @@ def test_odd_documents(spark, odd_docs):
     assert found[0] == found[1] == found[2] == [0] and found[3] == [3] and found[4] == [4] and found[5] == [5, 5]
     assert sorted(found[None], key=str) == [0, None]
     assert near_duplicate_classes(odd_docs.limit(0)).count() == 0
+
+
+def brute_of_sets(sets, least=0.8):
+    """Classes of sets without repeated shingles."""
+    label = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            shared = len(x & sets[j])
+            if label[i] != label[j] and shared >= least * (len(x) + len(sets[j]) - shared):
+                low, high = sorted((label[i], label[j]))
+                label = [low if v == high else v for v in label]
+    return dict(enumerate(label))
+
+
+def test_links_inside_a_large_family(spark):
+    rows = []
+    for i in range(1000):  # all share a passage (similarity 0.77); 0 and 1, 2 and 3 up to 19 a little more (0.82)
+        shared = f"p{i // 2}x" if i < 20 else f"q{i}x"
+        own = [f"{shared if k < 3 else f'o{i}x'}{k}" for k in range(14)]
+        rows.append((i, " ".join([f"w{k}" for k in range(100)] + own)))
+    got = {x.doc_id: x.class_id for x in near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    words = [t.split() for _, t in rows]
+    number = {}
+    want = brute_of_sets([{number.setdefault(tuple(w[k : k + 5]), len(number)) for k in range(len(w) - 4)} for w in words])
+    assert len(set(want.values())) == 990
+    assert got == want
