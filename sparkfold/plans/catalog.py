@@ -281,6 +281,11 @@ def byte_sums_of_short_documents(spark, sf_dir):
     return rows.select("doc_id", byte_sum(F.col("payload")).alias("bytes_total"))
 
 
+@query()
+def byte_sums_of_documents(spark, sf_dir):
+    return streams(spark, sf_dir).select("doc_id", byte_sum(F.col("payload")).alias("bytes_total"))
+
+
 _WHOLE = "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(encode(text)) AS fp FROM documents"
 
 

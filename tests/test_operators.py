@@ -4,6 +4,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from sparkfold.operators import containers, dedup, metrics, similarity
+from sparkfold.plans.catalog import QUERIES
 from sparkfold.sources.streams import compressible, files, mutated, numbered, trace
 
 
@@ -125,3 +126,10 @@ def test_sources(spark, tmp_path):
     docs = spark.createDataFrame([(i, "some text here") for i in range(6)], "doc_id long, text string")
     assert mutated(docs, 1).filter("text like '%passage 1 of%'").count() == 2
     assert [r.place for r in numbered(spark.createDataFrame([("a", 5), ("a", 9), ("b", 1)], "s string, k long"), "s", ("k",)).orderBy("s", "k").collect()] == [0, 1, 0]
+
+
+def test_byte_sums_of_texts_of_any_length(spark, tmp_path):
+    texts = ["", "a", "é東京", "x" * 2000, "y" * 2001, "long words " * 20_000]
+    spark.createDataFrame([(i, t, "en", "src0") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.bytes_total for r in QUERIES["byte_sums_of_documents"](spark, str(tmp_path)).collect()}
+    assert got == {i: sum(t.encode()) % 2**32 for i, t in enumerate(texts)}
