@@ -8,19 +8,23 @@ coordinate with the probability of their weighted Jaccard similarity. About k ln
 text fill the signature, however many elements it has; texts with a gap get twice the darts.
 
 Joining: texts with the same word sequence are first put together under their smallest doc_id.
-Signatures are cut into bands; a bucket is a band's value. In rounds, every bucket picks one member
-as its hub, and members whose class differs from the hub's are compared with it on their full
-shingle sets; those of similarity 0.8 or more (weighted, or plain Jaccard) are linked, and linked
-classes merge. Hubs are drawn by hash, and after the first round also the member of most links that was no
-hub before, so a text in the middle of its copies becomes hub next. A bucket is done when three rounds
-of its hubs link nothing, however large the corpus; the rounds end when all are. A bucket is never paired with itself, joins on hot buckets and hubs are plain
-sort-merge joins whose large partitions Spark splits, and links and classes stay on the executors.
+Signatures are cut into bands; a bucket is a band's value. Two texts are linked if the weighted, or the
+plain, Jaccard similarity of their shingles is 0.8 or more; a text that repeats shingles has bands of
+its distinct ones as well, so both kinds of similarity meet in a bucket. Links are found in two steps:
+
+1. Hubs merge the large groups of copies at little cost: in each of ``HUB_ROUNDS`` rounds a bucket picks
+   hubs among its members, and members of another class than a hub's are compared with it.
+2. The members of all buckets that still have several classes go through an exact set similarity
+   join (``unseen_pairs``), so that no pair that shares a bucket is left out. The number of rounds
+   thus decides on the cost alone.
+
+A bucket is never paired with itself, joins on hot buckets and hubs are plain sort-merge joins whose
+large partitions Spark splits, and links and classes stay on the executors.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +35,8 @@ from .common import materialize, ship_code, tidied
 from .words import mix, sequence_hashes, shingles, slices, word_hashes
 
 BANDS, ROWS, WIDTH, SIMILARITY = 24, 5, 5, 0.8
-#: Rounds without a link after which a bucket is done; a round has three hubs, the first one.
-QUIET = 3
+#: Rounds of hubs before the exact join; the first has one hub a bucket, the others three.
+HUB_ROUNDS = 2
 #: Ids, or pairs of ids, that may be broadcast to their texts or shingle sets.
 FEW_IDS = 100_000
 #: Tokens in a batch from Python workers.
@@ -80,7 +84,7 @@ def _units(hashes: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, text: str, bands: int, rows: int) -> DataFrame:
     """id, h1, h2 (hashes of the word sequence), n and u (distinct shingles, and all), bands (null for a
-    text without words)."""
+    text without words): those of the weighted shingles, and where n < u those of the distinct ones too."""
     ship_code(docs.sparkSession)
 
     def run(batches):
@@ -90,11 +94,19 @@ def signatures(docs: DataFrame, text: str, bands: int, rows: int) -> DataFrame:
                 words, upto = word_hashes(texts)
                 h1, h2 = sequence_hashes(words, upto)
                 owner, hashes, occurrence = shingles(words, upto, WIDTH)
-                values = band_values(dart_minhash(owner, _units(hashes, occurrence), len(texts), bands * rows), bands, rows)
-                empty = np.diff(upto) == 0
-                lists = pa.ListArray.from_arrays(np.arange(0, values.size + 1, bands, dtype=np.int32), pa.array(values.ravel()), mask=pa.array(empty))
-                n, u = (pa.array(np.bincount(o, minlength=len(texts)).astype(np.int32)) for o in (owner[occurrence == 0], owner))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), pa.array(h1), pa.array(h2), n, u, lists], ["id", "h1", "h2", "n", "u", "bands"])
+                units = _units(hashes, occurrence)
+                values = band_values(dart_minhash(owner, units, len(texts), bands * rows), bands, rows)
+                n, u = (np.bincount(o, minlength=len(texts)).astype(np.int32) for o in (owner[occurrence == 0], owner))
+                twice = np.flatnonzero(n < u)
+                which = np.full(len(texts), -1)
+                which[twice] = np.arange(len(twice))
+                plain = (occurrence == 0) & (which[owner] >= 0)
+                more = band_values(dart_minhash(which[owner[plain]], units[plain], len(twice), bands * rows), bands, rows)
+                at = np.concatenate([np.repeat(np.arange(len(texts)), bands), np.repeat(twice, bands)])
+                flat = np.concatenate([values.ravel(), more.ravel()])[np.argsort(at, kind="stable")]
+                ends = np.concatenate([[0], np.cumsum(bands * (1 + (n < u)))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(ends, pa.array(flat), mask=pa.array(np.diff(upto) == 0))
+                yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), pa.array(h1), pa.array(h2), pa.array(n), pa.array(u), lists], ["id", "h1", "h2", "n", "u", "bands"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, "id long, h1 long, h2 long, n int, u int, bands array<long>")
 
@@ -253,22 +265,55 @@ def merged(state: DataFrame | None, found: DataFrame, tasks: int) -> DataFrame:
     return materialize(news.join(moved, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label"), "links", "was"), tasks)
 
 
-def near_duplicate_classes(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS, least: float = SIMILARITY) -> DataFrame:
+def _links(members: DataFrame, state: DataFrame | None) -> DataFrame:
+    """members (rep, n, u, bucket) with the label of a rep's class, its links, and whether it was a hub."""
+    if state is None:
+        return members.withColumns({"label": F.col("rep"), "links": F.lit(0), "was": F.lit(False)})
+    known = members.join(state, F.col("rep") == F.col("node"), "left")
+    return known.select("rep", "n", "u", "bucket", F.coalesce("label", "rep").alias("label"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("was", F.lit(False)).alias("was"))
+
+
+def _mixed(linked: DataFrame) -> DataFrame:
+    """The buckets whose members are of several classes."""
+    return linked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
+
+
+def _hub_pairs(linked: DataFrame, turn: int, least: float) -> DataFrame:
+    """Pairs (a, hub) of a bucket's members and its hubs, of different classes and of sizes that allow a link.
+
+    One hub by hash, alike in all buckets; after the first round also one by the bucket's own hash, and
+    the member of most links that was no hub yet.
+    """
+    named = [F.col("rep").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("u").alias("hub_u")]
+    kinds = {"drawn": F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), *named))}
+    if turn:
+        kinds["own"] = F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(-turn)).alias("h"), *named))
+        kinds["middle"] = F.min(F.struct(F.col("was"), -F.col("links"), F.xxhash64("rep", "bucket", F.lit(turn)).alias("h"), *named))
+    picked = linked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), *[v.alias(k) for k, v in kinds.items()]).filter("low < high")
+    hub = lambda c: F.struct(*[F.col(f"{c}.{x}") for x in ("hub", "hub_label", "hub_n", "hub_u")])
+    picked = picked.select("bucket", F.explode(F.array(*map(hub, kinds))).alias("x")).select("bucket", "x.*")
+    pairs = linked.select("rep", "n", "u", "bucket", "label").join(picked, "bucket").filter("label <> hub_label")
+    near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(least)
+    return pairs.filter(near("n", "hub_n") | near("u", "hub_u")).select(F.col("rep").alias("a"), "hub").distinct()
+
+
+def near_duplicate_classes(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS, least: float = SIMILARITY, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """doc_id and class_id, the smallest doc_id of its class, per row of docs (doc_id, text).
 
     Words are as in ``words``; a null or empty text, or one without words, is alone in its class. A text
-    of one to four words has one shingle of all of them. A null doc_id joins the class of an equal
-    text that has an id, else its class_id is null. Repeated rows are returned each; an empty table
-    gives no rows.
+    of one to four words has one shingle of all of them; texts of any length are taken whole. A null
+    doc_id joins the class of an equal text that has an id, else its class_id is null. Repeated rows are
+    returned each; an empty table gives no rows; further columns are ignored. Any number of
+    ``hub_rounds`` gives the same classes.
     """
     docs = docs.select("doc_id", F.col(text).alias("text"))
     signed = materialize(signatures(docs, "text", bands, rows))
     filled = signed.filter("bands is not null")
     reps = filled.filter("id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("u").alias("u"), F.min("bands").alias("bands"))
     reps = materialize(reps)
-    values = reps.select("rep", "n", "u", F.explode("bands").alias("bucket"))
+    values = reps.select("rep", "n", "u", F.explode(F.array_distinct("bands")).alias("bucket"))
     shared = values.groupBy("bucket").count().filter("count > 1").select("bucket")
-    members = materialize(values.join(shared, "bucket").withColumn("quiet", F.lit(0)))
+    members = materialize(values.join(shared, "bucket"))
     few = max(24, members.count() // 100_000)  # tasks for narrow rows
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     # A bounded number of ids picks their texts before the shuffle; more are joined.
@@ -278,67 +323,32 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", bands: int = BAN
 
     # Of the reps with a link: label of their class, links, and whether they were a hub.
     state = tested = None
-    turn, dropped = 0, []
-    while True:
-        now = members
-        if state is None:
-            now = now.select("rep", "n", "u", "bucket", "quiet", F.col("rep").alias("label"), F.lit(0).alias("links"), F.lit(False).alias("was"))
-        else:
-            now = now.join(state, F.col("rep") == F.col("node"), "left")
-            now = now.select("rep", "n", "u", "bucket", "quiet", F.coalesce("label", "rep").alias("label"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("was", F.lit(False)).alias("was"))
-        # One hub by hash, alike in all buckets; later also one by the bucket's own hash, and the member
-        # of most links that was no hub yet.
-        named = [F.col("rep").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("u").alias("hub_u")]
-        drawn = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), *named))
-        middle = F.min(F.struct(F.col("was"), -F.col("links"), F.xxhash64("rep", "bucket", F.lit(turn)).alias("h"), *named))
-        own = F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(-turn)).alias("h"), *named))
-        kinds = {"drawn": drawn, "own": own, "middle": middle} if turn else {"drawn": drawn}
-        picked = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), *[v.alias(k) for k, v in kinds.items()]).filter("low < high")
-        hub = lambda c: F.struct(*[F.col(f"{c}.{x}") for x in ("hub", "hub_label", "hub_n", "hub_u")])
-        picked = picked.select("bucket", F.array(*map(hub, kinds)).alias("hubs"))
-        # Buckets of one class are done for good.
-        now = materialize(now.select("rep", "n", "u", "bucket", "quiet", "label").join(picked, "bucket"), few)
-        pairs = now.select("rep", "n", "u", "label", F.explode("hubs").alias("x")).select("*", "x.*").filter("label <> hub_label")
-        # Sets whose sizes differ by more can't be similar enough.
-        near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(least)
-        pairs = pairs.filter(near("n", "hub_n") | near("u", "hub_u")).select(F.col("rep").alias("a"), "hub").distinct()
+
+    def test(pairs: DataFrame) -> None:
+        nonlocal state, tested
         if tested is not None:
             pairs = pairs.join(tested, ["a", "hub"], "left_anti")
         pairs = materialize(pairs, few)
         found = materialize(verify(pairs, sets, least, max(24, pairs.count() // 1000)))
         both_ways = pairs.unionByName(pairs.select(F.col("hub").alias("a"), F.col("a").alias("hub")))
         tested = both_ways if tested is None else tested.unionByName(both_ways)
-        turn += 1
-        # A bucket's rounds are over when QUIET in a row no hub of it linked anything, in whatever bucket.
-        heard = now.select("bucket", F.explode("hubs").alias("x")).select("bucket", "x.hub").distinct().join(found.select("hub").distinct(), "hub", "left_semi").select("bucket").distinct().withColumn("_heard", F.lit(True))
-        members = now.select("rep", "n", "u", "bucket", "quiet").join(heard, "bucket", "left")
-        members = members.select("rep", "n", "u", "bucket", F.when(F.col("_heard").isNull(), F.col("quiet") + 1).otherwise(0).alias("quiet"))
-        aged = materialize(members, few)
-        members = aged.filter(F.col("quiet") < QUIET)
-        dropped.append(aged.filter(F.col("quiet") >= QUIET))
-        if not found.limit(1).count():
-            if members.limit(1).count():
-                continue
-            break
-        state = merged(state, found, few)
-    # What the hubs left: reps of buckets that still have several classes.
-    rest = reduce(DataFrame.unionByName, dropped) if dropped else members.limit(0)
-    labelled = lambda df: df.withColumn("label", F.col("rep")) if state is None else df.join(state, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep"))
-    rest = labelled(rest.select("rep", "n", "u", "bucket")).select("rep", "n", "u", "bucket", "label")
-    mixed = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
-    rest = materialize(rest.join(mixed, "bucket", "left_semi").select("rep", "n", "u", "label").distinct(), few)
-    if rest.limit(1).count():
-        pairs = unseen_pairs(rest, sets, least, few)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "hub"], "left_anti")
-        pairs = materialize(pairs, few)
-        found = materialize(verify(pairs, sets, least, max(24, pairs.count() // 1000)))
         if found.limit(1).count():
             state = merged(state, found, few)
-    labels = None if state is None else state.select("node", "label")
+
+    for turn in range(hub_rounds):
+        linked = _links(members, state)
+        if turn:  # buckets of one class are done for good
+            linked = materialize(linked.join(_mixed(linked), "bucket", "left_semi"), few)
+            members = linked.select("rep", "n", "u", "bucket")
+        test(_hub_pairs(linked, turn, least))
+    # What the hubs left: reps of buckets that still have several classes, all compared.
+    rest = _links(members, state)
+    rest = materialize(rest.join(_mixed(rest), "bucket", "left_semi").select("rep", "n", "u", "label").distinct(), few)
+    if rest.limit(1).count():
+        test(unseen_pairs(rest, sets, least, few))
 
     classes = reps.select("h1", "h2", "rep")
-    if labels is not None:
-        classes = classes.join(labels, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("label", "rep").alias("rep"))
+    if state is not None:
+        classes = classes.join(state.select("node", "label"), F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("label", "rep").alias("rep"))
     known = filled.select("id", "h1", "h2").join(classes, ["h1", "h2"], "left").select(F.col("id").alias("doc_id"), F.col("rep").alias("class_id"))
     return known.unionByName(signed.filter("bands is null").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id")))

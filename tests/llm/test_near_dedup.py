@@ -135,3 +135,26 @@ def test_links_inside_a_large_family(spark):
     want = brute_of_sets([{number.setdefault(tuple(w[k : k + 5]), len(number)) for k in range(len(w) - 4)} for w in words])
     assert len(set(want.values())) == 990
     assert got == want
+
+
+def test_texts_that_repeat_shingles_in_different_numbers(spark):
+    line = [f"a{k} b{k} c{k} d{k} e{k} f{k} g{k}" for k in range(12)]
+    rows = [(k, " ".join([line[k]] * 10)) for k in range(12)] + [(100 + k, " ".join([line[k]] * (20 + 3 * k))) for k in range(12)]
+    got = {x.doc_id: x.class_id for x in near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and got[105] == 5  # the distinct shingles agree
+
+
+def test_rounds_of_hubs_change_the_cost_alone(spark):
+    r, rows = random.Random(8), []
+    for family in range(3):  # variants of a text, most pairs of which are just below the threshold
+        base = [f"w{family}_{k}" for k in range(200)]
+        for _ in range(60):
+            words = list(base)
+            for k in r.sample(range(200), r.randrange(1, 6)):
+                words[k] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert 1 < len(set(want.values())) < len(rows)
+    for rounds in (0, 2):
+        assert {x.doc_id: x.class_id for x in near_duplicate_classes(df, hub_rounds=rounds).collect()} == want
