@@ -188,26 +188,29 @@ def unseen_pairs(reps: DataFrame, sets: DataFrame, least: float, tasks: int) ->
     """Pairs (a, hub) of reps (rep, n, u, label) of different labels, among them all that are similar enough.
 
     A set similarity join without loss: tokens are in order of the number of texts that have them, rarest
-    first. Two texts that share ceil(least * size) tokens share one of the first size - ceil(least * size) + 1
-    of both (prefix filter), and where they first meet, enough tokens are left (positional filter). Tokens
-    of one text alone can't be shared, so they use up the prefix and make no rows; texts that differ by
-    more than the prefix have none. Kind 0 joins distinct shingles, kind 1 all of them.
+    first. Two texts x and y, x no larger, that are similar enough share ceil(2t / (1 + t) * |x|) tokens of x
+    at least, so one of x's first |x| less that many plus one is among y's first |y| - ceil(t * |y|) + 1 (prefix
+    filter with the shorter prefix on the smaller text), and where two prefixes meet, enough tokens are left
+    on both sides (positional filter, a part of the join's condition). Tokens of one text alone can't
+    be shared, so they use up the prefix and make no rows; texts that differ by more than the prefix
+    have none. Kind 0 joins distinct shingles, kind 1 all of them.
     """
     few = F.broadcast(reps.select(F.col("rep").alias("id"))) if reps.count() <= FEW_IDS else reps.select(F.col("rep").alias("id"))
     rows = _tokens(sets.join(few, "id", "left_semi"))
     seen = rows.groupBy("token").agg(F.count("*").alias("texts")).filter("texts > 1")
     ordered = rows.join(seen, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("texts", "token"))).alias("every"))
     ordered = ordered.withColumn("once", F.filter("every", lambda x: x["token"] < F.lit(1 << 32)))
-    ordered = ordered.join(reps, F.col("id") == F.col("rep")).select("rep", "label", F.array(*[F.struct(F.lit(k).alias("kind"), F.col(size).alias("size"), F.col(c).alias("tokens"), F.ceil(F.col(size) * least - 1e-6).cast("int").alias("need")) for k, size, c in ((0, "n", "once"), (1, "u", "every"))]).alias("kinds"))
-    ordered = ordered.select("rep", "label", F.explode("kinds").alias("x")).select("rep", "label", "x.*").withColumn("length", F.size("tokens")).filter("length >= need")
-    heads = ordered.select("rep", "label", "kind", "size", "length", F.posexplode(F.slice("tokens", F.lit(1), F.col("length") - F.col("need") + 1)).alias("at", "x"))
-    heads = heads.select("kind", F.col("x.token").alias("token"), "label", F.struct("rep", "size", (F.col("length") - F.col("at")).alias("left")).alias("who"))
-    # A class is one row of a token, so that its members are not paired with each other.
-    classes = materialize(heads.groupBy("kind", "token", "label").agg(F.collect_list("who").alias("who")), tasks)
-    both = classes.join(classes.select("kind", "token", F.col("label").alias("other"), F.col("who").alias("those")), ["kind", "token"]).filter("label < other")
-    both = both.select(F.explode("who").alias("x"), "those").select("x", F.explode("those").alias("y"))
-    both = both.filter(F.least("x.left", "y.left") >= (F.col("x.size") + F.col("y.size")) * F.lit(least / (1 + least)) - 1e-6)
-    return both.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("hub")).distinct()
+    ordered = ordered.join(reps, F.col("id") == F.col("rep")).select("rep", "label", F.array(*[F.struct(F.lit(k).alias("kind"), F.col(size).alias("size"), F.col(c).alias("tokens")) for k, size, c in ((0, "n", "once"), (1, "u", "every"))]).alias("kinds"))
+    ordered = ordered.select("rep", "label", F.explode("kinds").alias("x")).select("rep", "label", "x.*").withColumn("length", F.size("tokens"))
+    share = lambda part: F.ceil(F.col("size") * F.lit(part) - 1e-6).cast("int")
+    ordered = ordered.withColumns({"need": share(least), "most": share(2 * least / (1 + least))}).filter("length >= need")
+    heads = ordered.select("rep", "label", "kind", "size", "length", "most", F.posexplode(F.slice("tokens", F.lit(1), F.col("length") - F.col("need") + 1)).alias("at", "x"))
+    heads = materialize(heads.select("kind", F.col("x.token").alias("token"), "label", "rep", "size", (F.col("length") - F.col("at")).alias("left"), (F.col("at") <= F.col("length") - F.col("most")).alias("short")), tasks)
+    x = heads.filter("short").select("kind", "token", F.col("rep").alias("a"), F.col("label").alias("a_label"), F.col("size").alias("a_size"), F.col("left").alias("a_left"))
+    y = heads.select("kind", "token", F.col("rep").alias("hub"), "label", "size", "left")
+    smaller = (F.col("a_size") < F.col("size")) | (F.col("a_size") == F.col("size")) & (F.col("a") < F.col("hub"))
+    enough = F.least("a_left", "left") >= (F.col("a_size") + F.col("size")) * F.lit(least / (1 + least)) - 1e-6
+    return x.join(y, (x["kind"] == y["kind"]) & (x["token"] == y["token"]) & (F.col("a_label") != F.col("label")) & smaller & enough).select("a", "hub").distinct()
 
 
 def components(edges: DataFrame, tasks: int | None = None, bound: int = 10_000) -> DataFrame:
