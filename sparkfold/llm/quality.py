@@ -121,7 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, bits: int = 18)
         weights = train([(np.frombuffer(f, "<i4"), y) for _, y, f in found], bits)
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()], pa.binary())], ["weights"])
 
-    trained = rows.mapInArrow(featurise, "doc_id long, label int, features binary").coalesce(1).mapInArrow(learn, "weights binary").first()
+    # The shuffle to one task moves the features of the sample; the scan of the documents stays spread.
+    trained = rows.mapInArrow(featurise, "doc_id long, label int, features binary").repartition(1).mapInArrow(learn, "weights binary").first()
     return np.frombuffer(trained["weights"], "<f4").astype(np.float64) if trained else np.zeros((1 << bits) + 1)
 
 
@@ -148,8 +149,9 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = 18) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, keep: tuple = ()) -> DataFrame:
     """doc_id, held_out, score, predicted, *keep for every row of docs, by a classifier fitted on labels.
 
-    The score depends on the text alone. A null doc_id is never held out; repeated rows score alike;
-    an empty table gives no rows.
+    The score depends on the text alone, whole at any length; a null or empty one scores by the bias.
+    A null doc_id is never held out; repeated rows and rows of one doc_id score each by their text; an
+    empty table gives no rows; a column of keep may have any name but the returned ones.
     """
     weights = fit(docs, labels)
     scored = score(docs.select("doc_id", "text", *[c for c in keep if c not in ("doc_id", "text")]), weights)

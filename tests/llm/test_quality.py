@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -59,3 +61,34 @@ def test_odd_documents(spark, odd_docs, corpus):
     assert classify(odd_docs.limit(0), empty).count() == 0
     some = spark.createDataFrame([(0, None), (None, 1), (7, 1), (7, 0), (9, 0)], "doc_id long, quality int")
     assert score(odd_docs, fit(odd_docs, some)).columns == odd_docs.columns[:5] + ["spans", "score"]
+
+
+def naive_score(text, weights, bits=18):
+    """Tokens, pairs and repeated words one by one, in plain integers."""
+    tokens, wrap = [], 1 << 64
+    for part in re.findall(r"[^\W\d_]+|\d+|[^\w\s]+|_+", text or ""):
+        tokens.append((zlib.crc32(part.lower().encode()) & ~1) + part.isalpha())
+        if len(part) > 1 and part.isupper():
+            tokens.append(zlib.crc32(b"\0capitals") & ~1)
+    grams = [t * 0x94D049BB133111EB % wrap for t in tokens]
+    grams += [(a * 0x9E3779B97F4A7C15 + b) * 0xBF58476D1CE4E5B9 % wrap for a, b in zip(tokens, tokens[1:])]
+    grams += [0xD6E8FEB86659FD93 for i, t in enumerate(tokens) if i and t % 2 and (tokens[i - 1] == t or i > 1 and tokens[i - 2] == t)]
+    odds = weights[-1] + 8.0 * sum(weights[g >> (64 - bits)] for g in grams) / max(1, len(grams))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+
+
+def test_scores_equal_a_naive_scorer(spark, corpus):
+    docs, labels = corpus
+    weights = fit(docs, labels).astype(np.float32).astype(float)
+    odd = ["", None, "A", "don't STOP_me now-- 12 12 12", "été Été ÉTÉ 東京 東京", prose(40_000, 9), "word " * 30_000]
+    rows = docs.limit(60).unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    for r in score(rows, weights).collect():
+        assert abs(r.score - naive_score(r.text, weights)) < 1e-6
+
+
+def test_training_shuffles_before_its_one_task(spark, corpus, monkeypatch):
+    plans = []
+    first = type(corpus[0]).first
+    monkeypatch.setattr(type(corpus[0]), "first", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), first(df))[1])
+    fit(*corpus)
+    assert "Coalesce" not in plans[0] and "SinglePartition" in plans[0] or "RoundRobin" in plans[0]
