@@ -1,7 +1,9 @@
 import hashlib
 import re
 
-from sparkfold.llm.pii import candidates, digests, find_pii, fit, redact, vote_counts
+from pyspark.sql import functions as F
+
+from sparkfold.llm.pii import KINDS, candidates, digests, find_pii, fit, redact, vote_counts
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -78,3 +80,9 @@ def test_odd_documents(spark, odd_docs):
     assert found.count() == odd_docs.count() and {r.doc_id for r in found.collect() if r.spans} == {8}
     assert digests(found.filter("doc_id = 8")).first().spans == "email:5:19"
     assert find_pii(odd_docs.limit(0)).count() == 0 and vote_counts(candidates(odd_docs.limit(0))) == []
+
+
+def test_the_counting_pass_runs_each_expression_once(spark):
+    docs = spark.createDataFrame([(1, "a@b.org")], "doc_id long, text string")
+    plan = candidates(docs).select(F.explode_outer("spans").alias("s")).groupBy("s.kind", "s.votes").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == len(KINDS) and "size(" not in "".join(x for x in plan.splitlines() if x.lstrip("+- ").startswith("Filter"))
