@@ -29,6 +29,7 @@ BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li "
     "main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
+BLOCK_FEATURES = frozenset(f"in:{t}" for t in BLOCK)
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 #: What words in classes, ids and roles speak of.
@@ -67,12 +68,20 @@ def _describe(tag: str, attributes: str) -> str:
 
 
 def leaf_blocks(page: str) -> list[tuple[str, tuple, int]]:
-    """(text, descriptions of the open elements, characters in links) of each block with text."""
+    """(text, path, characters in links) of each block with text.
+
+    A path is what the open elements say together: all their features, and those of the innermost
+    block-level one. It is kept up to date as elements open, and for each tag the places of its open elements,
+    so that neither depth nor unclosed elements make a page slow.
+    """
     blocks: list[tuple[str, tuple, int]] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, tuple]] = []
+    places: dict[str, list[int]] = {}
     pieces: list[str] = []
     linked = links = 0
     known: dict = {}
+    paths: dict = {}
+    nowhere = (frozenset(), ("in:none",))
 
     def flush() -> None:
         nonlocal linked
@@ -80,20 +89,19 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, int]]:
             text = "".join(pieces)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                blocks.append((text, tuple(d for _, d in stack), min(linked, len(text))))
+                blocks.append((text, stack[-1][1] if stack else nowhere, min(linked, len(text))))
             pieces.clear()
         linked = 0
 
     def close(tags: set, within: set) -> None:
         """Pops up to the innermost open element of tags, unless one of within is further in."""
         nonlocal links
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                links -= sum(t == "a" for t, _ in stack[i:])
-                del stack[i:]
-                return
-            if stack[i][0] in within:
-                return
+        last = lambda names: max((places[t][-1] for t in names if places.get(t)), default=-1)
+        if (found := last(tags)) > last(within):
+            while len(stack) > found:
+                gone, _ = stack.pop()
+                places[gone].pop()
+                links -= gone == "a"
 
     at = 0
     while at < len(page):
@@ -139,8 +147,12 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, int]]:
         key = tag, m[3]
         if key not in known:
             known[key] = _describe(tag, m[3]) if m[3].strip() else f"in:{tag}"
-        if len(stack) < 256:  # deeper elements add no features
-            stack.append((tag, known[key]))
+        step = stack[-1][1] if stack else nowhere, known[key]
+        if step not in paths:
+            (inside, last), own = step[0], known[key].split(" ")
+            paths[step] = inside.union(own), tuple(own) if not BLOCK_FEATURES.isdisjoint(own) else last
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, paths[step]))
     flush()
     return blocks
 
@@ -150,8 +162,7 @@ def features(blocks: list[tuple[str, tuple, int]]) -> list[list[str]]:
     paths: dict = {}
     for i, (text, path, linked) in enumerate(blocks):
         if path not in paths:
-            inside = sorted({f for d in path for f in d.split(" ")})
-            last = next((d.split(" ") for d in reversed(path) if any(f"in:{t}" in d.split(" ") for t in BLOCK)), ["in:none"])
+            inside, last = sorted(path[0]), path[1]
             kind = ("side" if ASIDE.intersection(inside) else "plain") + ("-core" if CORE.intersection(inside) else "")
             paths[path] = [*inside, *[f"at:{f}" for f in last], kind, *[f"{kind}:{f}" for f in last]]
         n = len(text)
@@ -337,8 +348,9 @@ def default_chain() -> Chain:
 def extract(pages: DataFrame, chain: Chain | None = None, column: str = "html") -> DataFrame:
     """pages (page_id, url and the html column) as page_id, url, text: the main text of each row.
 
-    A null or empty page gives an empty text; a page cut off anywhere gives what it has; ids and urls,
-    null or not, pass through; repeated rows are extracted each; an empty table gives no rows.
+    A null or empty page gives an empty text; a page cut off anywhere gives what it has, and one of any
+    length or depth is taken whole; ids and urls, null or not, pass through; repeated rows are extracted
+    each; a tie of labels goes to no main text; an empty table gives no rows; other columns are ignored.
     """
     ship_code(pages.sparkSession)
     chain = chain or default_chain()

@@ -1,5 +1,6 @@
 import itertools
 import math
+import time
 
 from sparkfold.llm.html_text import Chain, default_chain, extract, features, labelled, labelled_pages, leaf_blocks, main_text_of
 
@@ -59,3 +60,23 @@ def test_odd_pages(spark):
     got = extract(df).collect()
     assert len(got) == len(rows) and {r.page_id: r.text for r in got}[1] == TEXT and all(r.text is not None for r in got)
     assert len({r.page_id: r.text for r in got}[6]) == 549_999 and extract(df.limit(0)).count() == 0
+
+
+def test_elements_of_any_depth_are_closed_in_their_place():
+    deep = "<div>" * 300 + "<a href=x>far</a>" + "</div>" * 300
+    page = f'<div class="sidebar">{deep}<p>Still beside.</p></div><article><p>Main text here.</p></article>'
+    blocks = {t: (p, n) for t, p, n in leaf_blocks(page)}
+    assert "about:side" in blocks["Still beside."][0][0] and "about:side" not in blocks["Main text here."][0][0]
+    assert blocks["far"][1] == 3 and blocks["Still beside."][1] == blocks["Main text here."][1] == 0
+    assert "in:article" in blocks["Main text here."][0][0]
+
+
+def test_paths_tell_what_all_open_elements_say():
+    (text, (inside, last), linked), *_ = leaf_blocks('<div class="content"><ul><li>x</li></ul></div>')
+    assert (text, linked) == ("x", 0) and inside == {"in:div", "about:content", "in:ul", "in:li"} and last == ("in:li",)
+
+
+def test_unclosed_elements_make_no_page_slow():
+    began = time.time()
+    leaf_blocks("<p><div>" + "<span>" * 100_000 + "<h2>x</h2></em>" * 20_000)
+    assert time.time() - began < 20
