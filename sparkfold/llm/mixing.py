@@ -54,6 +54,11 @@ def targets(sizes: DataFrame, weights: tuple = (5, 2, 1), cap: int = CAP) -> Dat
     )
 
 
+def point(slot: Column) -> Column:
+    """slot * GOLDEN modulo POINTS, by factors so small that no slot number overflows a long."""
+    return F.pmod(slot % POINTS * (GOLDEN - POINTS), F.lit(POINTS))
+
+
 def schedule(sources: DataFrame, n_slots: int) -> DataFrame:
     """The mix's slots: slot (from 1), order (of the source), rank (of the slot in its source).
 
@@ -68,7 +73,7 @@ def schedule(sources: DataFrame, n_slots: int) -> DataFrame:
     ends = sources.filter("target > 0").withColumn("hi", F.round(before / all_ * POINTS).cast("long"))
     spans = ends.withColumn("lo", F.coalesce(F.lag("hi").over(Window.partitionBy(F.lit(0)).orderBy("order")), F.lit(0).cast("long")))
     spans = spans.filter("hi > lo").select("order", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("cell"))
-    slots = spark.range(1, n_slots + 1).select(F.col("id").alias("slot"), (F.col("id") * GOLDEN % POINTS).alias("point"))
+    slots = spark.range(1, n_slots + 1).select(F.col("id").alias("slot"), point(F.col("id")).alias("point"))
     slots = slots.withColumn("cell", F.floor(F.col("point") / width)).withColumn("run", F.floor(F.col("slot") / RUN))
     drawn = slots.join(spans, "cell").filter("point >= lo and point < hi").select("slot", "run", "order")
     counts = drawn.groupBy("order", "run").agg(F.count("*").alias("n"))

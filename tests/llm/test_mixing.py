@@ -2,8 +2,9 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from sparkfold.llm.mixing import mix, schedule, targets
+from sparkfold.llm.mixing import GOLDEN, POINTS, mix, point, schedule, targets
 
 
 def level(sizes, weights=(5, 2, 1), cap=3):
@@ -64,3 +65,9 @@ def test_a_small_corpus_gets_small_blocks(spark):
     for r in mix(df).collect():
         taken[r.source, r.target] += r.taken
     assert all(abs(n - target) <= 4 for (_, target), n in taken.items())
+
+
+def test_points_of_far_slots(spark):
+    slots = [1, 2, 3_474_701_533, 4_000_000_000, (1 << 32) - 1, 1 << 32, 250_000_000_000, (1 << 62) + 12345]
+    got = spark.createDataFrame([(s,) for s in slots], "slot long").select("slot", point(F.col("slot")).alias("point")).collect()
+    assert {r.slot: r.point for r in got} == {s: s * GOLDEN % POINTS for s in slots}
