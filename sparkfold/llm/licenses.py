@@ -1,6 +1,9 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a line; it contains a template to the degree |block words in template| / |template words|.
+A block is a line and, as notices are often wrapped, the lines that follow it within its paragraph,
+up to the one that completes the number of words of the longest template. So every run of words as
+long as a template lies whole in the block of the line that it begins in. A block contains a
+template to the degree |block words in template| / |template words|.
 All pairs of at least ``threshold`` are found without comparing every block with every template.
 Words are put in order of their frequency over the whole corpus, rarest first. A block that holds
 ceil(threshold * m) of a template's m words must hold one of its first m - ceil(threshold * m) + 1
@@ -19,6 +22,9 @@ from pyspark.sql import types as T
 
 from .common import SEPARATORS, row_key
 
+#: The separators without the line feed.
+LINE_SEPARATORS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]"
+
 #: Phrases that are found word by word, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: License statements and their labels.
@@ -81,10 +87,30 @@ def template_words(templates: dict[str, str] = TEMPLATES) -> list[tuple[int, str
     return [(i, label, sorted(set(t.lower().split()))) for i, (t, label) in enumerate(templates.items())]
 
 
-def blocks(docs: DataFrame, key: list, text: str) -> DataFrame:
-    """One row per line with words: the key, block (from 0) and words, its distinct words."""
-    lines = docs.select(*key, F.posexplode(F.split(F.lower(F.col(text)), "\n")).alias("block", "_line"))
-    return lines.select("*", F.array_distinct(F.split(F.trim(F.regexp_replace("_line", F.lit(f"{SEPARATORS}+"), F.lit(" "))), " ")).alias("words")).drop("_line")
+def blocks(docs: DataFrame, key: list, text: str, longest: int, wanted: list[str]) -> DataFrame:
+    """One row per line with words that begins a block with one of the wanted words: the key, block (the
+    line, from 0) and words, its distinct words.
+
+    A block has a line's words and those of the lines after it, while these have fewer than ``longest``
+    words in all and none is blank. Texts without a wanted word are not cut into lines.
+    """
+    known = F.array(*map(F.lit, wanted))
+    docs = docs.select(*key, F.regexp_replace(F.lower(F.col(text)), F.lit(f"{LINE_SEPARATORS}+"), F.lit(" ")).alias("_clean"))
+    docs = docs.filter(F.arrays_overlap(F.split(F.translate("_clean", "\n", " "), " "), known))
+    names = [c for c in docs.columns if c != "_clean"]
+    docs = docs.select(*names, F.transform(F.split("_clean", "\n"), lambda x: F.filter(F.split(x, " "), lambda w: w != "")).alias("_lines"))
+
+    def step(block: Column, line: Column) -> Column:
+        more = block["open"] & (F.size(line) > 0) & (block["n"] < longest)
+        return F.struct(F.when(more, F.concat(block["words"], line)).otherwise(block["words"]).alias("words"), (block["n"] + F.size(line)).alias("n"), more.alias("open"))
+
+    def block(i: Column) -> Column:
+        first = F.element_at("_lines", i + 1)
+        whole = F.aggregate(F.slice("_lines", i + 2, F.lit(longest)), F.struct(first.alias("words"), F.lit(0).alias("n"), F.lit(True).alias("open")), step, lambda b: b["words"])
+        return F.when(F.size(first) > 0, F.array_distinct(whole))
+
+    docs = docs.select(*names, F.transform(F.sequence(F.lit(0), F.size("_lines") - 1), block).alias("_blocks"))
+    return docs.select(*names, F.posexplode("_blocks").alias("block", "words")).filter(F.arrays_overlap("words", known))
 
 
 def template_matches(docs: DataFrame, key: tuple, text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = 0.9) -> DataFrame:
@@ -110,7 +136,8 @@ def template_matches(docs: DataFrame, key: tuple, text: str = "text", templates:
     side = F.broadcast(spark.createDataFrame(rows, schema).coalesce(1))
 
     ranked = F.array(*map(F.lit, sorted(vocabulary, key=order.get)))
-    found = blocks(docs, list(key), text).filter(F.arrays_overlap("words", F.array(*map(F.lit, sorted(prefixes)))))
+    longest = max((len(t.split()) for t in templates), default=0)
+    found = blocks(docs, list(key), text, longest, sorted(prefixes))
     found = found.withColumn("n", F.size("words")).withColumn("words", F.array_intersect(ranked, "words"))
     names = [c for c in found.columns if c not in ("words", "n")]
     tokens = found.select("*", F.posexplode("words").alias("at", "token"))
@@ -128,8 +155,10 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLA
     """doc_id, n_words, n_base, first_word, last_word, base (labels), labels, score, per row of docs.
 
     labels has base and template labels; score is 1 with a phrase, else the largest containment, else
-    0. A null text counts as empty: no words, no labels. A null doc_id is kept. Rows equal in doc_id and
-    text share their labels and are returned each. An empty table gives no rows.
+    0. A null text counts as empty: no words, no labels. A text of any length is scanned whole. A
+    null doc_id is kept. Rows equal in doc_id and text share their labels and are returned each; where
+    several blocks or templates tie, all their labels count. An empty table gives no rows; other columns are
+    ignored.
     """
     mine = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     key = row_key(mine)

@@ -46,6 +46,7 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _licenses_sql() -> str:
     values = ", ".join(f"({i}, '{label}', {len(set(t.lower().split()))}, {sorted(set(t.lower().split()))})" for i, (t, label) in enumerate(TEMPLATES.items()))
+    longest = max(len(t.split()) for t in TEMPLATES)
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     ascii_lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
@@ -56,8 +57,12 @@ p AS (SELECT doc_id, h, text, len(w) AS n_words,
         list_filter(range(1, len(w) + 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS gpl,
         list_filter(range(1, len(w) + 1), lambda i: w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved') AS res FROM w),
 t AS (SELECT * FROM (VALUES {values}) v(template, label, m, words)),
-b AS (SELECT DISTINCT doc_id, h, list_distinct(regexp_extract_all(line, {word})) AS bw
-      FROM (SELECT doc_id, h, unnest(string_split(text, chr(10))) AS line FROM d)),
+l AS (SELECT k, i, w, len(w) AS n, sum(len(w)) OVER u AS upto, sum(CASE WHEN len(w) = 0 THEN 1 ELSE 0 END) OVER u AS blanks
+      FROM (SELECT (doc_id, h) AS k, generate_subscripts(lines, 1) AS i, regexp_extract_all(unnest(lines), {word}) AS w FROM (SELECT DISTINCT doc_id, h, string_split(text, chr(10)) AS lines FROM d))
+      WINDOW u AS (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT DISTINCT x.k[1] AS doc_id, x.k[2] AS h, list_sort(list_distinct(flatten(list(y.w)))) AS bw
+      FROM l x JOIN l y ON x.k = y.k AND y.i BETWEEN x.i AND x.i + {longest} AND y.blanks = x.blanks AND y.upto - y.n - x.upto < {longest}
+      WHERE x.n > 0 GROUP BY x.k, x.i),
 c AS (SELECT doc_id, h, label, len(list_intersect(bw, words)) / m AS containment FROM b, t WHERE len(list_intersect(bw, words)) >= ceil(0.9 * m - 1e-9)),
 k AS (SELECT doc_id, h, list(DISTINCT label) AS more, max(containment) AS top FROM c GROUP BY doc_id, h),
 x AS (SELECT p.*, list_concat(CASE WHEN len(cc) > 0 THEN ['cc-by'] ELSE [] END, CASE WHEN len(gpl) > 0 THEN ['gpl'] ELSE [] END, CASE WHEN len(res) > 0 THEN ['reserved'] ELSE [] END) AS base, more, top
@@ -118,7 +123,7 @@ l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - (sum(cap) OVER (ORDE
 t AS (SELECT source, source_size, ord, least(cap, max(lev) OVER () * weight) AS target FROM l),
 e AS (SELECT *, CAST(round(sum(target) OVER (ORDER BY ord ROWS UNBOUNDED PRECEDING) / sum(target) OVER () * 4294967296) AS BIGINT) AS hi FROM t WHERE target > 0),
 s AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY ord), 0) AS lo FROM e),
-p AS (SELECT CAST((i * 2654435769) % 4294967296 AS BIGINT) AS point FROM b, unnest(range(1, CAST(ceil(total / block) AS BIGINT) + 1)) r(i)),
+p AS (SELECT CAST((CAST(i AS HUGEINT) * 2654435769) % 4294967296 AS BIGINT) AS point FROM b, unnest(range(1, CAST(ceil(total / block) AS BIGINT) + 1)) r(i)),
 c AS (SELECT ord, count(*) AS slots FROM s JOIN p ON point >= lo AND point < hi GROUP BY ord),
 d AS (SELECT z.doc_id, z.size, t.source_size, t.target, t.ord, sum(z.size) OVER (PARTITION BY z.source ORDER BY h, z.doc_id, z.size ROWS UNBOUNDED PRECEDING) - z.size AS start
       FROM sized z JOIN t ON z.source IS NOT DISTINCT FROM t.source)

@@ -13,8 +13,13 @@ def brute(text, threshold=0.9):
     w = words(text)
     hits = [(i, label) for p, label in PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     labels, top = {label for _, label in hits}, 1.0 if hits else 0.0
-    for line in (text or "").split("\n"):
-        have = set(words(line))
+    lines = [words(x) for x in (text or "").split("\n")]
+    for i, line in enumerate(lines):
+        have, n, j = set(line), 0, i + 1
+        while line and j < len(lines) and lines[j] and n < max(len(t.split()) for t in TEMPLATES):  # the lines after it, to the longest template's words
+            have |= set(lines[j])
+            n += len(lines[j])
+            j += 1
         for t, label in TEMPLATES.items():
             need = set(t.lower().split())
             share = len(have & need) / len(need)
@@ -34,6 +39,13 @@ TEXTS = [
     "Permission is hereby granted free of charge to any person obtaining a copy of the software",
     "licence general public  license generalpublic license",
     "é all rights reserved ß 東京 all rights reserved",
+    "/* Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated files */",
+    "before\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that\n",
+    "This program is free software; you can redistribute it\nand/or modify it under the terms of the GNU\nGeneral Public\nLicense\n",
+    "Released under\n\nthe MIT License",
+    "Released under\n" + "one two three " * 8 + "\nthe MIT License",
+    "Released under\n" + "one two three " * 7 + "\nthe MIT License",
+    "Released\n" * 400 + "under the mit\nlicense",
     "",
     None,
     " \n\n ",
@@ -53,3 +65,10 @@ def test_odd_documents(spark, odd_docs):
     rows = scan(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(r.labels == [] and r.score == 0 for r in rows)
     assert scan(odd_docs.limit(0)).count() == 0
+
+
+def test_wrapped_notices_are_found_whole(spark):
+    rows = scan(spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS) if t and "\n" in t], "doc_id long, text string")).collect()
+    by = {r.doc_id: r.labels for r in rows}
+    start = next(i for i, t in enumerate(TEXTS) if t.startswith("/*"))
+    assert [by[start + k] for k in range(6)] == [["mit"], ["bsd"], ["gpl", "gpl-notice"], [], [], ["mit"]]
