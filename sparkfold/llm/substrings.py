@@ -4,32 +4,38 @@ Parsing: a rolling hash of ``GRAM`` bytes is taken at every byte. The trigger of
 the least hash in it; neighbouring windows with the same trigger form a phrase, which overlaps the next
 by width - 1 bytes, so every window lies in exactly one phrase. Equal windows have equal triggers, so the
 phrases of a trigger, dealt to buckets by its hash, hold every copy of their windows in the corpus.
-Equal phrases of a task go as one dictionary entry with the list of places where the parse has them.
+Texts go through in bundles. Equal phrases of a bundle are one entry of its dictionary, with the least
+and the largest doc_id that has them; the parse, which says where they stand, stays with the bundle.
 
-Ordering: in a bucket the suffixes of the dictionary (cut to a window) are put in order, which brings
-equal ones together. Only equality matters here, so the order is that of 64-bit fingerprints, and the
-bytes of neighbours are compared; a bucket with a collision is ordered by the bytes themselves.
-The parse then tells each place the smallest document that holds its window.
+Ordering: in a bucket, equal phrases of all bundles are put together, and the suffixes of the remaining
+dictionary, cut to a window, are put in lexicographic order (``suffix_order``), which brings equal windows
+of different phrases together. Documents that hold a window are compared by their least doc_id, so an order of the
+parse's suffixes among equal windows is not needed. Bytes decide throughout: prints only propose what is equal.
+Each window's least doc_id goes back to the bundles where a larger one has it, and is met with the parse.
 
-Shuffles move compressed blobs: the phrases, the removed intervals, and the texts once.
+Shuffles move compressed blobs: the dictionaries, the answers, and the texts once. A bundle meets at most
+``FAN`` buckets at a time; beyond that many, dictionaries are dealt in several levels.
 """
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_code, tidied
-from .words import P1, mix, powers, slices
+from .common import materialize, ship_code, tidied
+from .words import P1, mix, powers
 
-GRAM, SUBS, MOST = 12, 16, 64
+GRAM, SUBS, MOST = 12, 32, 64
 NO_ID = np.iinfo(np.int64).max
-#: Bytes of text per bucket, and per flush of a task; buckets at least.
-BUCKET_BYTES, FLUSH_BYTES, LEAST_BUCKETS = 8 << 20, 8 << 20, 64
+#: Bytes of text per bucket and per bundle, and of a piece that is parsed at once; buckets at least.
+BUCKET_BYTES, BUNDLE_BYTES, PIECE_BYTES, LEAST_BUCKETS = 32 << 20, 16 << 20, 1 << 20, 64
+#: Buckets that a blob is dealt to at once.
+FAN = 4096
 LEVEL = 4
 _CODEC: dict[int, pa.Codec] = {}
 
@@ -50,7 +56,7 @@ def unpack_arrays(blob: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     head = np.frombuffer(raw, np.int64, 2 * n, 8)
     out, at = [], 8 + 16 * n
-    kinds = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.uint32, np.int64, np.uint64)}
+    kinds = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.uint32, np.int64)}
     for kind, size in head.reshape(-1, 2).tolist():
         kind = kinds[kind]
         out.append(np.frombuffer(raw, kind, size // kind.itemsize, at))
@@ -81,282 +87,314 @@ def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return data[at]
 
 
-def phrases(texts: list[bytes], width: int) -> tuple:
-    """(owner, position, windows, trigger, fingerprint, start, data): the phrases of all texts.
-
-    A phrase of ``windows`` windows starts at data[start]; a long run of one trigger is cut.
-    """
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    begin = np.cumsum(lengths) - lengths
-    none = np.zeros(0, np.int64)
-    if len(data) < width:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none, data
+def triggers(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The trigger of the window at each byte, and the prefix sums that prints are taken from."""
     total, inverse = prefix_sums(data)
     grams = mix((total[GRAM:] - total[:-GRAM]) * inverse[: len(data) - GRAM + 1])
-    trigger = sliding_least(grams, width - GRAM + 1)
-    owner = np.repeat(np.arange(len(texts)), lengths)[: len(trigger)]
-    at = np.arange(len(trigger))
-    inside = at + width <= (begin + lengths)[owner]
-    new = np.ones(len(trigger), bool)
-    new[1:] = (trigger[1:] != trigger[:-1]) | (owner[1:] != owner[:-1]) | ~inside[:-1]
-    runs = np.flatnonzero(new)
-    since = at - runs[np.cumsum(new) - 1]
-    starts = np.flatnonzero(inside & (new | (since % MOST == 0)))
-    run_end = np.append(runs[1:], len(trigger))[np.searchsorted(runs, starts, side="right") - 1]
-    last_inside = (begin + lengths)[owner[starts]] - width + 1
-    windows = np.minimum(np.minimum(run_end, last_inside) - starts, MOST)
-    ends = starts + windows + width - 1
-    print_ = mix((total[ends] - total[starts]) * inverse[starts] + windows.astype(np.uint64))
-    return owner[starts], starts - begin[owner[starts]], windows, trigger[starts], print_, starts, data
-
-
-class _Dictionary:
-    """Distinct phrases of a task with their places, until they are flushed to buckets."""
-
-    def __init__(self, buckets: int, width: int):
-        self.buckets, self.width, self.parts, self.held = buckets, width, [], 0
-
-    def add(self, ids: np.ndarray, variants: np.ndarray, texts: list[bytes]) -> None:
-        owner, position, windows, trigger, print_, start, data = phrases(texts, self.width)
-        _, first, which = np.unique(print_, return_index=True, return_inverse=True)
-        lengths = windows[first] + self.width - 1
-        self.parts.append((print_[first], trigger[first], windows[first].astype(np.uint8), lengths, gather(data, start[first], lengths), which, ids[owner], variants[owner], position.astype(np.uint32)))
-        self.held += len(data)
-
-    def flush(self):
-        """(bucket, blob) rows: per phrase windows and places, per place id, variant, position; bytes."""
-        if not self.parts:
-            return
-        shift = np.cumsum([0, *[len(p[0]) for p in self.parts]])
-        prints, triggers, windows, lengths, data = (np.concatenate([p[i] for p in self.parts]) for i in range(5))
-        which = np.concatenate([p[5] + s for p, s in zip(self.parts, shift, strict=False)])
-        ids, variants, positions = (np.concatenate([p[i] for p in self.parts]) for i in (6, 7, 8))
-        self.parts, self.held = [], 0
-        _, first, again = np.unique(prints, return_index=True, return_inverse=True)
-        which = again[which]
-        place = triggers[first] >> np.uint64(8)
-        bucket = (place % np.uint64(self.buckets)).astype(np.int64)
-        sub = ((place // np.uint64(self.buckets)) % np.uint64(SUBS)).astype(np.int64)
-        order = np.lexsort((triggers[first], sub, bucket))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        starts = np.cumsum(lengths) - lengths
-        first, sub, bucket, which = first[order], sub[order], bucket[order], rank[which]
-        by = np.argsort(which, kind="stable")
-        counts = np.bincount(which, minlength=len(first))
-        upto = np.concatenate([[0], np.cumsum(counts)])
-        ids, variants, positions = ids[by], variants[by], positions[by]
-        edges = np.searchsorted(bucket, np.arange(self.buckets + 1))
-        for b in range(self.buckets):
-            lo, hi = edges[b], edges[b + 1]
-            if lo < hi:
-                f, a, z = first[lo:hi], upto[lo], upto[hi]
-                yield b, pack_arrays(np.bincount(sub[lo:hi], minlength=SUBS).astype(np.uint32), windows[f], counts[lo:hi].astype(np.uint32), ids[a:z], variants[a:z], positions[a:z], gather(data, starts[f], lengths[f]))
+    return sliding_least(grams, width - GRAM + 1), total, inverse
+
+
+def phrases(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """(start, windows, trigger, print) of the phrases of texts that stand one after the other in data up
+    to ends. Pieces of bounded size are parsed at a time; a piece, like a long run of one trigger, cuts phrases."""
+    parts = []
+    for a in range(0, len(data) - width + 1, PIECE_BYTES):
+        piece = data[a : a + PIECE_BYTES + width - 1]
+        trigger, total, inverse = triggers(piece, width)
+        low = int(np.searchsorted(ends, a, side="right"))
+        high = int(np.searchsorted(ends, a + len(trigger) - 1, side="right"))
+        mine = ends[low : high + 1]
+        text_end = np.repeat(mine, np.diff(np.concatenate([[a], np.minimum(mine, a + len(trigger))])))
+        at = np.arange(a, a + len(trigger))
+        inside = at + width <= text_end
+        new = np.ones(len(trigger), bool)
+        new[1:] = (trigger[1:] != trigger[:-1]) | (text_end[1:] != text_end[:-1]) | ~inside[:-1]
+        runs = np.flatnonzero(new)
+        since = at - a - runs[np.cumsum(new) - 1]
+        starts = np.flatnonzero(inside & (since % MOST == 0))
+        run_end = np.append(runs[1:], len(trigger))[np.searchsorted(runs, starts, side="right") - 1]
+        windows = np.minimum(np.minimum(run_end, text_end[starts] - a - width + 1) - starts, MOST)
+        print_ = mix((total[starts + windows + width - 1] - total[starts]) * inverse[starts] + windows.astype(np.uint64))
+        parts.append((starts + a, windows, trigger[starts], print_))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none, none, none.astype(np.uint64), none.astype(np.uint64))
+
 
+def distinct(data: np.ndarray, start: np.ndarray, length: np.ndarray, print_: np.ndarray, step: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """(first, which): of the strings data[start:start + length], the first of each kind, and each one's kind.
 
-def removable(blobs: list[bytes], width: int):
-    """(id, variant, start, end) arrays of the intervals to remove, from all blobs of a bucket."""
-    opened = [unpack_arrays(b) for b in blobs]
+    Prints propose what is equal, and the bytes are compared; where they differ, the bytes alone decide.
+    """
+    _, first, which = np.unique(print_, return_index=True, return_inverse=True)
+    again = np.flatnonzero(first[which] != np.arange(len(start)))
+    for k in range(0, len(again), step):
+        i = again[k : k + step]
+        j = first[which[i]]
+        if (length[i] != length[j]).any() or (gather(data, start[i], length[i]) != gather(data, start[j], length[j])).any():
+            number: dict[bytes, int] = {}
+            which = np.array([number.setdefault(data[s : s + n].tobytes(), len(number)) for s, n in zip(start.tolist(), length.tolist(), strict=True)], np.int64)
+            _, first = np.unique(which, return_index=True)
+            break
+    return first, which
+
+
+def suffix_order(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows data[at:at + width] in lexicographic order, and which of them differ from the one before.
+
+    The order is refined eight bytes at a time, among those that are equal so far.
+    """
+    words = np.empty(len(data), ">u8")
+    padded = np.concatenate([data, np.zeros(8, np.uint8)]).tobytes()
+    for k in range(8):
+        n = len(range(k, len(data), 8))
+        words[k::8] = np.frombuffer(padded, ">u8", n, k)
+    words = words.astype(np.uint64)
+    key = words[at]
+    order = np.argsort(key)
+    key = key[order]
+    new = np.append(True, key[1:] != key[:-1])
+    for step in range(8, width, 8):
+        same = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(same):
+            break
+        group = np.cumsum(new)[same]
+        key = words[at[order[same]] + min(step, width - 8)]
+        by = np.lexsort((key, group))
+        order[same], key = order[same][by], key[by]
+        new[same[1:]] |= key[1:] != key[:-1]
+    return order, new
+
+
+def fans(buckets: int, fan: int) -> list[int]:
+    """Numbers of buckets after each level of dealing; each is a multiple of the one before, by fan at most."""
+    levels = 1
+    while fan**levels < buckets:
+        levels += 1
+    top = -(-buckets // fan ** (levels - 1))
+    return [top * fan**i for i in range(levels)]
+
+
+def _deal(trigger: np.ndarray, buckets: int, columns: tuple, length: np.ndarray, data: np.ndarray, start: np.ndarray):
+    """(bucket, blob) for each bucket of the triggers: how many entries each of its parts has, the columns,
+    the phrases' windows included, and their bytes."""
+    place = trigger >> np.uint64(8)
+    bucket = (place % np.uint64(buckets)).astype(np.int64)
+    sub = ((place // np.uint64(buckets)) % np.uint64(SUBS)).astype(np.int64)
+    order = np.lexsort((trigger, sub, bucket))
+    bucket, sub, length, start = bucket[order], sub[order], length[order], start[order]
+    columns = tuple(c[order] for c in columns)
+    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() if len(bucket) else []
+    for lo, hi in zip(edges, [*edges[1:], len(bucket)], strict=True):
+        subs = np.bincount(sub[lo:hi], minlength=SUBS).astype(np.uint32)
+        yield int(bucket[lo]), pack_arrays(subs, *[c[lo:hi] for c in columns], gather(data, start[lo:hi], length[lo:hi]))
+
+
+def dictionary(ids: np.ndarray, ends: np.ndarray, data: np.ndarray, buckets: int, width: int):
+    """(bucket, blob) rows of a bundle: entries' numbers, windows, least doc_id, largest less least, bytes."""
+    start, windows, trigger, print_ = phrases(data, ends, width)
+    if not len(start):
+        return
+    first, which = distinct(data, start, windows + width - 1, print_)
+    by = np.argsort(which, kind="stable")
+    at = np.concatenate([[0], np.cumsum(np.bincount(which))[:-1]])
+    owner = ids[np.searchsorted(ends, start, side="right")][by]
+    least, most = np.minimum.reduceat(owner, at), np.maximum.reduceat(owner, at)
+    columns = (np.arange(len(first), dtype=np.uint32), windows[first].astype(np.uint8), least, most - least)
+    yield from _deal(trigger[first], buckets, columns, windows[first] + width - 1, data, start[first])
+
+
+def deal_again(blob: bytes, buckets: int, width: int):
+    """A blob of ``_deal`` for a finer number of buckets."""
+    _, numbers, windows, least, more, data = unpack_arrays(blob)
+    length = windows.astype(np.int64) + width - 1
+    start = np.cumsum(length) - length
+    yield from _deal(triggers(data, width)[0][start], buckets, (numbers, windows, least, more), length, data, start)
+
+
+def answers(blobs: list[bytes], width: int) -> Iterator[tuple[int, list[tuple]]]:
+    """(number of the blob, [numbers, windows, least doc_ids of the windows]) for the entries that have a
+    larger doc_id than one of their windows' least."""
+    opened = []
+    for blob in blobs:
+        subs, numbers, windows, *rest = unpack_arrays(blob)
+        edges = np.concatenate([[0], np.cumsum(subs, dtype=np.int64)])
+        upto = np.concatenate([[0], np.cumsum(windows.astype(np.int64) + width - 1)])[edges]
+        opened.append((edges.tolist(), upto.tolist(), numbers, windows, *rest))
     for sub in range(SUBS):
-        parts = []
-        for subs, windows, counts, ids, variants, positions, data in opened:
-            upto = np.cumsum(subs)
-            lo, hi = int(upto[sub] - subs[sub]), int(upto[sub])
+        parts, whose = [], []
+        for k, (edges, upto, numbers, windows, least, more, data) in enumerate(opened):
+            lo, hi = edges[sub], edges[sub + 1]
             if lo < hi:
-                length = windows.astype(np.int64) + width - 1
-                places, bytes_ = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]), np.concatenate([[0], np.cumsum(length)])
-                a, z = places[lo], places[hi]
-                parts.append((windows[lo:hi], counts[lo:hi], ids[a:z], variants[a:z], positions[a:z], data[bytes_[lo] : bytes_[hi]]))
-        if parts:
-            yield _removable(*(np.concatenate([p[i] for p in parts]) for i in range(6)), width)
-
-
-def _removable(windows, counts, ids, variants, positions, data, width: int):
-    windows, counts = windows.astype(np.int64), counts.astype(np.int64)
-    start = np.cumsum(windows + width - 1) - (windows + width - 1)
-    phrase = np.repeat(np.arange(len(windows)), windows)
-    upto = np.cumsum(windows) - windows
-    at = np.arange(len(phrase)) - upto[phrase] + start[phrase]
-    places = np.cumsum(counts) - counts
-    least = np.minimum.reduceat(ids, places)
+                parts.append((numbers[lo:hi], windows[lo:hi].astype(np.int64), least[lo:hi], least[lo:hi] + more[lo:hi], data[upto[sub] : upto[sub + 1]]))
+                whose.append(np.full(hi - lo, k))
+        if not parts:
+            continue
+        numbers, windows, least, most, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+        picked, first_id, upto = _least_ids(windows, least, most, data, width)
+        who = np.concatenate(whose)[picked]
+        for k in np.unique(who).tolist():
+            mine = picked[who == k]
+            yield k, (numbers[mine], windows[mine].astype(np.uint8), gather(first_id, upto[mine], windows[mine]))
+
+
+def _least_ids(windows: np.ndarray, least: np.ndarray, most: np.ndarray, data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entries to answer, least doc_id per window of the distinct phrases, where an entry's begin there)."""
+    length = windows + width - 1
+    start = np.cumsum(length) - length
     total, inverse = prefix_sums(data)
-    prints = (total[at + width] - total[at]) * inverse[at]
-    order = np.argsort(prints)
-    new = np.ones(len(order), bool)
-    new[1:] = prints[order][1:] != prints[order][:-1]
-    if _collide(data, at[order], new, width):
-        view = np.lib.stride_tricks.sliding_window_view(data, width)[at]
-        text = np.ascontiguousarray(view).view(f"V{width}").ravel()
-        order = np.argsort(text, kind="stable")
-        new[1:] = text[order][1:] != text[order][:-1]
+    first, which = distinct(data, start, length, mix((total[start + length] - total[start]) * inverse[start]))
+    by = np.argsort(which, kind="stable")
+    least = np.minimum.reduceat(least[by], np.concatenate([[0], np.cumsum(np.bincount(which))[:-1]]))
+    wins = windows[first]
+    upto = np.cumsum(wins) - wins
+    phrase = np.repeat(np.arange(len(first)), wins)
+    at = np.arange(len(phrase)) + (start[first] - upto)[phrase]
+    order, new = suffix_order(data, at, width)
     group = np.flatnonzero(new)
     first_id = np.empty(len(order), np.int64)
     first_id[order] = np.repeat(np.minimum.reduceat(least[phrase][order], group), np.diff(np.append(group, len(order))))
     lowest = np.minimum.reduceat(first_id, upto)
-    highest = np.maximum.reduceat(ids, places)
-    some = np.flatnonzero(lowest < highest)  # phrases with a place to remove from
-    spots = gather(np.arange(len(ids)), places[some], counts[some])
-    of = np.repeat(some, counts[some])
-    spots, of = spots[lowest[of] < ids[spots]], of[lowest[of] < ids[spots]]
-    wins = windows[of]
-    row = np.repeat(np.arange(len(spots)), wins)
-    gone = gather(first_id, upto[of], wins) < ids[spots][row]
-    step = np.arange(len(row)) - np.repeat(np.cumsum(wins) - wins, wins)
-    opens = gone & (np.append(True, ~gone[:-1]) | (step == 0))
-    closes = gone & (np.append(~gone[1:], True) | (np.append(step[1:], 0) == 0))
-    lo, hi = np.flatnonzero(opens), np.flatnonzero(closes)
-    spot = spots[row[lo]]
-    return ids[spot], variants[spot], positions[spot].astype(np.int64) + step[lo], positions[spot].astype(np.int64) + step[hi] + width
-
-
-def _collide(data: np.ndarray, at: np.ndarray, new: np.ndarray, width: int) -> bool:
-    """Whether neighbours of one fingerprint differ in their bytes."""
-    same = np.flatnonzero(~new)
-    for k in range(0, len(same), 1 << 17):
-        pick = same[k : k + (1 << 17)]
-        step = np.arange(width)
-        if (data[at[pick][:, None] + step] != data[at[pick - 1][:, None] + step]).any():
-            return True
-    return False
-
-
-def kept_texts(texts: list[bytes], keys: np.ndarray, spans: tuple) -> list[tuple[bytes, list, list]]:
-    """Each text without the union of its intervals; spans: key, start, end."""
-    key, start, end = spans
-    order = np.lexsort((start, key))
-    key, start, end = key[order], start[order], end[order]
-    lo, hi = np.searchsorted(key, keys, side="left"), np.searchsorted(key, keys, side="right")
-    out = []
-    for text, a, z in zip(texts, lo.tolist(), hi.tolist(), strict=True):
-        if a == z:
-            out.append((text, [], []))
-            continue
-        reach = np.maximum.accumulate(end[a:z])
-        fresh = np.append(True, start[a + 1 : z] > reach[:-1])
-        starts, ends = start[a:z][fresh].tolist(), reach[np.append(np.flatnonzero(fresh)[1:] - 1, z - a - 1)].tolist()
-        pieces, at = [], 0
-        for s, e in zip(starts, ends, strict=True):
-            pieces.append(text[at:s])
-            at = e
-        out.append((b"".join([*pieces, text[at:]]), starts, ends))
-    return out
+    return np.flatnonzero(lowest[which] < most), first_id, upto[which]
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", width: int = 50) -> DataFrame:
+def removed(ids: np.ndarray, ends: np.ndarray, data: np.ndarray, found: list[list[np.ndarray]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) in data of the maximal runs that a bundle loses; found are the answers it got."""
+    none = np.zeros(0, np.int64)
+    if not found:
+        return none, none, none
+    start, windows, _, print_ = phrases(data, ends, width)
+    first, which = distinct(data, start, windows + width - 1, print_)
+    numbers, counts, least = (np.concatenate(x) for x in zip(*found, strict=True))
+    counts = counts.astype(np.int64)
+    begin = np.full(len(first), -1, np.int64)
+    begin[numbers] = np.cumsum(counts) - counts
+    some = np.flatnonzero(begin[which] >= 0)
+    start, windows, begin = start[some], windows[some], begin[which[some]]
+    text = np.searchsorted(ends, start, side="right")
+    row = np.repeat(np.arange(len(some)), windows)
+    gone = gather(least, begin, windows) < ids[text][row]
+    at = np.arange(len(row)) + (start - (np.cumsum(windows) - windows))[row]
+    cut = np.append(True, row[1:] != row[:-1])
+    lo = np.flatnonzero(gone & (cut | np.append(True, ~gone[:-1])))
+    hi = np.flatnonzero(gone & np.append(cut[1:] | ~gone[1:], True))
+    text, start, end = text[row[lo]], at[lo], at[hi] + width
+    if not len(lo):
+        return none, none, none
+    reach = np.maximum.accumulate(end)
+    fresh = np.append(True, (start[1:] > reach[:-1]) | (text[1:] != text[:-1]))
+    return text[fresh], start[fresh], reach[np.append(np.flatnonzero(fresh)[1:] - 1, len(lo) - 1)]
+
+
+def _cleaned(ids: np.ndarray, null: np.ndarray, ends: np.ndarray, data: np.ndarray, spans: tuple) -> pa.Table:
+    text, start, end = spans
+    begin = np.concatenate([[0], ends[:-1]])
+    edge = np.zeros(len(data) + 1, np.int8)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, end, -1)
+    kept = np.cumsum(edge[:-1], dtype=np.int8) == 0
+    upto = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], ends])]
+    blobs = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(upto.astype(np.int64).tobytes()), pa.py_buffer(data[kept].tobytes())])
+    at = np.searchsorted(text, np.arange(len(ids) + 1)).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x - begin[text])) for x in (start, end)]
+    return pa.table([pa.array(ids, mask=null.astype(bool)), pa.array(ends - begin), blobs.cast(pa.binary()), *lists], names=["doc_id", "n_bytes", "kept", "starts", "ends"])
+
+
+def _offsets(texts: pa.Array) -> np.ndarray:
+    kind = np.int64 if pa.types.is_large_binary(texts.type) else np.int32
+    return np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+
+
+def _bundles(docs: DataFrame) -> DataFrame:
+    """bundle, bytes, blob: doc_ids (null: the largest), which are null, ends of the texts, and the texts."""
+
+    def run(batches):
+        number, parts, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in tidied(batches):
+            at, ends = 0, _offsets(batch.column(1)) if batch.num_rows else np.zeros(1, np.int64)
+            while at < batch.num_rows:
+                upto = min(int(np.searchsorted(ends, ends[at] + BUNDLE_BYTES - size)), batch.num_rows)
+                upto = max(upto, at + 1)
+                parts.append(batch.slice(at, upto - at))
+                size += int(ends[upto] - ends[at])
+                at = upto
+                if size >= BUNDLE_BYTES:
+                    yield _bundle(number, size, parts)
+                    number, parts, size = number + 1, [], 0
+        if parts:
+            yield _bundle(number, size, parts)
+
+    return docs.mapInArrow(run, "bundle long, bytes long, blob binary")
+
+
+def _bundle(number: int, size: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    ids, texts = (pa.concat_arrays([p.column(i) for p in parts]) for i in (0, 1))
+    ends = _offsets(texts)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    null = ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+    blob = pack_arrays(ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64), null, ends[1:] - ends[0], data)
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([blob], pa.binary())], ["bundle", "bytes", "blob"])
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", width: int = 50, fan: int = FAN) -> DataFrame:
     """Texts without the strings of ``width`` bytes that also start in a document of smaller doc_id.
 
     Returns per row of docs: doc_id, n_bytes, kept (the remaining UTF-8 bytes), starts and ends (maximal removed
     runs, in bytes). Strings are judged on the input. A null text counts as empty; texts shorter than
-    width are kept whole. A null doc_id counts as larger than any. Rows of one doc_id clean nothing from
-    each other, and repeated rows are cleaned alike. An empty table gives no rows.
+    width are kept whole, and long ones parsed whole, a piece at a time. A null doc_id counts as larger
+    than any. Rows of one doc_id, or of none, clean nothing from each other, and repeated rows are
+    cleaned alike. An empty table gives no rows; other columns are ignored.
     """
     ship_code(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    sizes = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).agg(F.max("n"), F.sum("b")).first()
-    twice, size = (sizes[0] or 0) > 1, sizes[1] or 0
-    buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
-
-    def keyed(ids: pa.Array, texts: list[bytes], first: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (null: the largest) and, where an id has several rows, a hash that tells texts apart."""
-        part = ids.slice(first, len(texts)).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-        return part, np.array([zlib.crc32(t) if twice else 0 for t in texts], np.uint32)
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
+    bundles = materialize(_bundles(docs))
+    size = bundles.agg(F.sum("bytes")).first()[0] or 0
+    bundles = bundles.drop("bytes")
+    *levels, buckets = fans(max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)), fan)
+    entry = "bucket long, bundle long, blob binary"
+    first = levels[0] if levels else buckets
 
     def parse(batches):
-        held = _Dictionary(buckets, width)
-        for batch in tidied(batches):
-            for first, texts in slices(batch.column(1).to_pylist()):
-                held.add(*keyed(batch.column(0), texts, first), texts)
-                if held.held >= FLUSH_BYTES:
-                    yield from _rows(held.flush())
-        yield from _rows(held.flush())
-
-    def bundle(batches):
-        parts, count = [], 0
         for batch in tidied(batches):
-            for first, texts in slices(batch.column(1).to_pylist()):
-                ids, variants = keyed(batch.column(0), texts, first)
-                null = np.array(batch.column(0).slice(first, len(texts)).is_null().to_numpy(zero_copy_only=False), np.uint8)
-                parts.append((ids, variants, null, texts))
-                count += sum(map(len, texts))
-            if count >= FLUSH_BYTES:
-                yield from _rows(_bundles(parts, buckets))
-                parts, count = [], 0
-        if parts:
-            yield from _rows(_bundles(parts, buckets))
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids, _, ends, data = unpack_arrays(blob.as_py())
+                yield from _rows(((b, number, x) for b, x in dictionary(ids, ends, data, first, width)), entry)
+
+    entries = bundles.mapInArrow(parse, entry)
+    for finer in [*levels[1:], buckets] if levels else ():
+
+        def split(batches, finer=finer):
+            for batch in tidied(batches):
+                for number, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    yield from _rows(((b, number, x) for b, x in deal_again(blob, finer, width)), entry)
+
+        entries = materialize(entries.repartition("bucket", F.pmod(F.hash("bundle"), F.lit(16))).mapInArrow(split, entry))
 
     def order(table: pa.Table) -> pa.Table:
-        rows: dict[int, list] = {}
-        for ids, variants, starts, ends in removable(table.column("blob").to_pylist(), width):
-            part = home(ids, buckets)
-            by = np.lexsort((starts, ids, part))
-            edges = np.searchsorted(part[by], np.arange(buckets + 1))
-            for p in np.unique(part).tolist():
-                mine = by[edges[p] : edges[p + 1]]
-                rows.setdefault(p, []).append((ids[mine], variants[mine], starts[mine].astype(np.uint32), (ends - starts)[mine].astype(np.uint32)))
-        out = [(p, pack_arrays(*(np.concatenate([x[i] for x in xs]) for i in range(4)))) for p, xs in rows.items()]
-        return pa.table({"bucket": pa.array([p for p, _ in out], pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
+        whose = table.column("bundle").to_pylist()
+        held: dict[int, list] = {}
+        for k, answer in answers(table.column("blob").to_pylist(), width):
+            held.setdefault(whose[k], []).append(answer)
+        out = [(n, pack_arrays(*(np.concatenate(x) for x in zip(*parts, strict=True)))) for n, parts in held.items()]
+        return pa.table([pa.array([n for n, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["bundle", "blob"])
 
     def clean(left: pa.Table, right: pa.Table) -> pa.Table:
-        opened = [unpack_arrays(b) for b in right.column("blob").to_pylist()] or [[np.zeros(0, np.int64), *[np.zeros(0, np.uint32)] * 3]]
-        ids, variants, starts, lengths = (np.concatenate([x[i] for x in opened]) for i in range(4))
-        cols: list[list] = [[], [], [], [], []]
+        found = [unpack_arrays(b) for b in right.column("blob").to_pylist()]
+        out = []
         for blob in left.column("blob").to_pylist():
-            own, own_variants, null, sizes_, data = unpack_arrays(blob)
-            ends = np.cumsum(sizes_, dtype=np.int64)
-            raw = data.tobytes()
-            texts = [raw[e - n : e] for e, n in zip(ends.tolist(), sizes_.tolist(), strict=True)]
-            # One number per (id, variant) of this blob; intervals of other blobs' rows fall out.
-            pairs, key = np.unique(np.stack([own, own_variants.astype(np.int64)]), axis=1, return_inverse=True)
-            number = _number(pairs, ids, variants)
-            here = number >= 0
-            spans = number[here], starts[here].astype(np.int64), starts[here].astype(np.int64) + lengths[here]
-            for i, (kept, s, e) in enumerate(kept_texts(texts, key.ravel(), spans)):
-                for c, v in zip(cols, (None if null[i] else int(own[i]), len(texts[i]), kept, s, e), strict=True):
-                    c.append(v)
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "kept", "starts", "ends"])
-
-    spans = docs.mapInArrow(parse, "bucket int, blob binary").groupBy("bucket").applyInArrow(order, "bucket int, blob binary")
-    bundles = docs.mapInArrow(bundle, "bucket int, blob binary")
-    return bundles.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(clean, "doc_id long, n_bytes long, kept binary, starts array<long>, ends array<long>")
-
-
-def _number(pairs: np.ndarray, ids: np.ndarray, variants: np.ndarray) -> np.ndarray:
-    """The column of pairs that is (ids[i], variants[i]), or -1."""
-    kind = np.dtype([("a", np.int64), ("b", np.int64)])
-    known, asked = np.empty(pairs.shape[1], kind), np.empty(len(ids), kind)
-    known["a"], known["b"], asked["a"], asked["b"] = pairs[0], pairs[1], ids, variants
-    order = np.argsort(known, order=("a", "b"))
-    at = np.searchsorted(known[order], asked)
-    hit = np.minimum(at, len(known) - 1)
-    return np.where(known[order][hit] == asked, order[hit], -1)
-
-
-def home(ids: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(ids.astype(np.uint64) + np.uint64(P1)) % np.uint64(buckets)).astype(np.int64)
-
-
-def _bundles(parts: list[tuple], buckets: int):
-    """Texts by the bucket of their doc_id: (bucket, blob)."""
-    ids, variants, null = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    texts = [t for p in parts for t in p[3]]
-    part = home(ids, buckets)
-    order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        mine = order[edges[b] : edges[b + 1]]
-        if len(mine):
-            raw = [texts[i] for i in mine.tolist()]
-            yield b, pack_arrays(ids[mine], variants[mine], null[mine], np.array([len(t) for t in raw], np.uint32), np.frombuffer(b"".join(raw), np.uint8))
-
-
-def _rows(pairs, limit: int = 8 << 20):
-    """Record batches of (bucket, blob) of about limit bytes."""
+            ids, null, ends, data = unpack_arrays(blob)
+            out.append(_cleaned(ids, null, ends, data, removed(ids, ends, data, found, width)))
+        return pa.concat_tables(out)
+
+    replies = entries.groupBy("bucket").applyInArrow(order, "bundle long, blob binary")
+    return bundles.groupBy("bundle").cogroup(replies.groupBy("bundle")).applyInArrow(clean, "doc_id long, n_bytes long, kept binary, starts array<long>, ends array<long>")
+
+
+def _rows(found, schema: str, limit: int = 8 << 20):
+    """Record batches of (bucket, bundle, blob) of about limit bytes."""
     held, size = [], 0
-    for pair in pairs:
-        held.append(pair)
-        size += len(pair[1])
+    for row in found:
+        held.append(row)
+        size += len(row[2])
         if size >= limit:
             yield _batch(held)
             held, size = [], 0
@@ -365,4 +403,4 @@ def _rows(pairs, limit: int = 8 << 20):
 
 
 def _batch(held: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in held], pa.int32()), pa.array([x for _, x in held], pa.binary())], ["bucket", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "bundle", "blob"])

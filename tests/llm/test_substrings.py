@@ -1,5 +1,7 @@
 import random
+import zlib
 
+import numpy as np
 from pyspark.sql import Row
 
 from sparkfold.llm import substrings
@@ -55,18 +57,75 @@ def test_repeated_ids_null_ids_and_rows(spark):
     assert run(spark, rows) == brute(rows, 50)
 
 
-def test_a_collision_of_fingerprints_is_resolved_by_the_bytes(spark, monkeypatch):
-    import numpy as np
+def test_rows_of_null_ids_are_told_apart(spark):
+    r, twins = random.Random(11), {}  # two texts of equal length and checksum
+    while True:
+        text = "x" * 60 + "".join(r.choice("abcdefgh") for _ in range(14))
+        other = twins.setdefault(zlib.crc32(text.encode()), text)
+        if other != text:
+            break
+    rows = [(None, text), (None, other), (None, "y" * 90), (4, "z" + "x" * 55), (None, "q" * 90 + "w")]
+    assert run(spark, rows) == brute(rows, 50)
+
 
-    rows = [(0, b"0123456789" * 8), (1, b"abcdefghij" * 8), (2, b"0123456789" * 8)]
-    ids, texts = np.array([r[0] for r in rows]), [r[1] for r in rows]
-    real = substrings.prefix_sums
-    held = substrings._Dictionary(1, 50)
-    held.add(ids, np.zeros(3, np.uint32), texts)
-    blobs = [b for _, b in held.flush()]
-    monkeypatch.setattr(substrings, "prefix_sums", lambda data: (real(data)[0] * np.uint64(0), real(data)[1]))
-    found = [tuple(map(int, x)) for part in substrings.removable(blobs, 50) for x in zip(*part)]
-    assert found and {f[0] for f in found} == {2}
+def test_equal_prints_are_resolved_by_the_bytes():
+    data = np.frombuffer(b"0123456789" * 6 + b"abcdefghij" * 6 + b"0123456789" * 6, np.uint8)
+    start, length = np.array([0, 60, 120]), np.array([60, 60, 60])
+    first, which = substrings.distinct(data, start, length, np.zeros(3, np.uint64))
+    assert which.tolist() == [0, 1, 0] and first.tolist() == [0, 1]
+    first, which = substrings.distinct(data, start, length, np.array([5, 9, 5], np.uint64))
+    assert which.tolist() == [0, 1, 0] and first.tolist() == [0, 1]
+
+
+def test_suffixes_are_in_lexicographic_order():
+    r = random.Random(3)
+    data = np.frombuffer("".join(r.choice("ab") for _ in range(400)).encode() + b"abc" * 100 + b"abc" * 100, np.uint8)
+    at = np.arange(len(data) - 49)
+    order, new = substrings.suffix_order(data, at, 50)
+    texts = [data[i : i + 50].tobytes() for i in order]
+    assert texts == sorted(texts) and sorted(order.tolist()) == at.tolist()
+    assert new.tolist() == [k == 0 or texts[k] != texts[k - 1] for k in range(len(texts))]
+
+
+def test_phrases_hold_every_window_once_whatever_the_pieces(monkeypatch):
+    r = random.Random(4)
+    texts = ["".join(r.choice("abc ") for _ in range(r.choice([0, 3, 49, 50, 51, 300, 2000]))).encode() for _ in range(30)] + [b"a" * 500]
+    ends, data = np.cumsum([len(t) for t in texts]), np.frombuffer(b"".join(texts), np.uint8)
+    want = [p for e, t in zip(ends, texts) for p in range(e - len(t), e - 49)]
+    for size in (64, 1000, 1 << 20):
+        monkeypatch.setattr(substrings, "PIECE_BYTES", size)
+        start, windows, _, _ = substrings.phrases(data, ends, 50)
+        assert sorted(p for s, w in zip(start.tolist(), windows.tolist()) for p in range(s, s + w)) == want
+
+
+def test_bundles_pieces_and_levels_change_nothing(spark, monkeypatch):
+    rows = corpus(7)
+    want = brute(rows, 50)
+    assert substrings.fans(64, 4096) == [64] and substrings.fans(64, 4) == [4, 16, 64] and substrings.fans(65, 4)[-1] >= 65
+    df = spark.createDataFrame([Row(doc_id=i, text=t) for i, t in rows], "doc_id long, text string").repartition(2)
+    for fan in (4, 4096):
+        found = remove_repeats(df, fan=fan).collect()
+        assert sorted([(r.doc_id, r.n_bytes, bytes(r.kept), len(r.starts)) for r in found], key=str) == want
+    texts = dict(rows)
+    for r in found:
+        raw, gone = (texts[r.doc_id] or "").encode(), bytearray()
+        for s, e in zip(r.starts, r.ends):
+            gone += raw[s:e]
+        assert len(gone) + len(r.kept) == len(raw) and sorted(r.starts) == r.starts
+
+
+def test_bundles_of_any_size_hold_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BUNDLE_BYTES", 500)
+    docs = spark.createDataFrame(corpus(5), "doc_id long, text string").selectExpr("doc_id", "cast(coalesce(text, '') as binary) as text").coalesce(1)
+    batches = docs.toArrow().to_batches(max_chunksize=7)
+    monkeypatch.setattr(substrings.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 3})())
+    kept = {}
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: kept.setdefault("run", run))
+    substrings._bundles(docs)
+    out = [(b.column("bundle")[0].as_py(), *substrings.unpack_arrays(b.column("blob")[0].as_py())) for b in kept["run"](batches)]
+    assert [n for n, *_ in out] == [(3 << 32) + k for k in range(len(out))] and len(out) > 3
+    assert [i for _, ids, *_ in out for i in ids.tolist()] == [i for i, _ in corpus(5)]
+    assert b"".join(d.tobytes() for *_, d in out) == "".join(t or "" for _, t in corpus(5)).encode()
 
 
 def test_empty_table(spark, odd_docs):
