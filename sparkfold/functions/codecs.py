@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
@@ -37,14 +38,13 @@ def delta_encode(target: bytes, base: bytes) -> bytes:
     tail = _common(target[::-1], base[::-1], limit - head)
     tail = tail if tail > EDGE else 0
     end, base_end = len(target) - tail, len(base) - tail
-    units, at, pending = [], head, head
+    units, pending = [], head
     if head:
         units.append((head, 0, None))
     seeds = {base[i : i + SEED]: i for i in range(head, base_end - SEED + 1, SEED)}
-    while seeds and at + SEED <= end:
-        place = seeds.get(target[at : at + SEED])
+    for at in _likely(target, head, end, base, head, base_end):
+        place = seeds.get(target[at : at + SEED]) if at >= pending else None
         if place is None:
-            at += 1
             continue
         start, from_ = at, place
         while start > pending and from_ > 0 and target[start - 1] == base[from_ - 1]:
@@ -53,7 +53,7 @@ def delta_encode(target: bytes, base: bytes) -> bytes:
         if start > pending:
             units.append((start - pending, None, target[pending:start]))
         units.append((stop - start, from_, None))
-        at = pending = stop
+        pending = stop
     if end > pending:
         units.append((end - pending, None, target[pending:end]))
     if tail:
@@ -61,6 +61,24 @@ def delta_encode(target: bytes, base: bytes) -> bytes:
     return b"".join(struct.pack("<II", n, offset) if data is None else struct.pack("<I", n | INSERT) + data for n, offset, data in units)
 
 
+def weak_hashes(data: bytes, step: int = 1) -> np.ndarray:
+    """A 64-bit value of the SEED bytes at every ``step``-th place; equal strings have equal values, so a
+    value only proposes what the bytes then decide."""
+    if len(data) < SEED:
+        return np.zeros(0, np.uint64)
+    raw = np.frombuffer(data, np.uint8)
+    places = np.lib.stride_tricks.sliding_window_view(raw, SEED)[::step]
+    words = np.ascontiguousarray(places).view("<u8")
+    mixed = words[:, 0] * np.uint64(0x9E3779B97F4A7C15) + words[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F)
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def _likely(target: bytes, at: int, end: int, base: bytes, first: int, last: int) -> list[int]:
+    """Places from at on whose SEED bytes may be a seed of base[first:last]."""
+    seeds, mine = weak_hashes(base[first:last], SEED), weak_hashes(target[at:end])
+    return (np.flatnonzero(np.isin(mine, seeds)) + at).tolist() if len(seeds) else []
+
+
 def delta_decode(delta: bytes, base: bytes) -> bytes:
     out, at = [], 0
     while at < len(delta):

@@ -123,12 +123,14 @@ def cut_points(data: bytes, spec: ChunkSpec = ChunkSpec()) -> list[int]:
 def fixed_chunks(df: DataFrame, payload: str, size: int = 8192, keys: tuple = ()) -> DataFrame:
     """keys, seq, offset, chunk (binary): every ``size`` bytes, the last chunk shorter, by built-in functions alone.
 
-    A null or empty payload has no chunks.
+    A null or empty payload has no chunks. The chunks are cut before they become rows, so that no row
+    carries the payload beside its chunk.
     """
     data = F.col(payload)
     starts = F.when(F.length(data) > 0, F.sequence(F.lit(0), F.length(data) - 1, F.lit(size)))
-    rows = df.select(*keys, F.col(payload), F.posexplode(starts).alias("seq", "offset"))
-    return rows.select(*keys, F.col("seq").cast("long").alias("seq"), F.col("offset").cast("long").alias("offset"), F.substring(data, F.col("offset") + 1, F.lit(size)).alias("chunk"))
+    cut = F.transform(starts, lambda at: F.substring(data, at + 1, F.lit(size)))
+    rows = df.select(*keys, F.posexplode(cut).alias("seq", "chunk"))
+    return rows.select(*keys, F.col("seq").cast("long").alias("seq"), (F.col("seq").cast("long") * size).alias("offset"), "chunk")
 
 
 def cdc_chunks(df: DataFrame, payload: str, spec: ChunkSpec = ChunkSpec(), keys: tuple = ()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from ..runtime import prepare
 
 # A container's size, and what a record adds to its chunk.
 CAPACITY, ADDRESS, DIGESTS, VECTOR = 4 << 20, 144, 128, 16
+#: What a record adds where it carries its digests and address, and in the layout without a header.
+RECORD, PLAIN_RECORD = ADDRESS + DIGESTS + VECTOR, VECTOR
 
 
 def pack_approximately(chunks: DataFrame, order: tuple, size: str = "stored_len", streams: tuple = (), capacity: int = CAPACITY) -> DataFrame:
@@ -23,12 +26,13 @@ def pack_approximately(chunks: DataFrame, order: tuple, size: str = "stored_len"
     return chunks.withColumn("container", F.floor((F.sum(size).over(running) - F.col(size)) / capacity))
 
 
-def pack_exactly(chunks: DataFrame, order: tuple, size: str = "stored_len", streams: tuple = ("backup_id",), capacity: int = CAPACITY) -> DataFrame:
+def pack_exactly(chunks: DataFrame, order: tuple, size: str = "stored_len", streams: tuple = ("backup_id",), capacity: int = CAPACITY, record: int = RECORD) -> DataFrame:
     """Adds container (number from 0 in its stream) and offset, as a writer fills them one after the other.
 
-    A chunk goes to the open container while its record (vector, bytes, digests and address) leaves it below
+    A chunk goes to the open container while its record (its bytes and ``record`` more) leaves it below
     capacity, else to a new one. The fill depends on all earlier chunks of the stream, so a stream
-    goes through one task, in order, as rows of its key and sizes alone; batches pass one at a time.
+    goes through one task, in order, as rows of its key and sizes alone; batches pass one at a time. A
+    long stream is cut into several by a further column of ``streams``, each with a container open of its own.
     """
     prepare(chunks.sparkSession)
     chunks = chunks.drop("container", "offset")
@@ -41,17 +45,26 @@ def pack_exactly(chunks: DataFrame, order: tuple, size: str = "stored_len", stre
         key, used, container = None, 0, 0
         for batch in batches:
             keys = list(zip(*[batch.column(c).to_pylist() for c in range(n_keys)], strict=True))
-            sizes = batch.column(batch.num_columns - 1).to_pylist()
-            containers, offsets = [], []
-            for k, n in zip(keys, sizes, strict=True):
-                if k != key:
-                    key, used, container = k, 0, 0
-                if used and VECTOR + n + used + DIGESTS + ADDRESS >= capacity:
-                    used, container = 0, container + 1
-                containers.append(container)
-                offsets.append(used)
-                used += n + ADDRESS + DIGESTS + VECTOR
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(containers, pa.int64()), pa.array(offsets, pa.int64())], schema.names)
+            records = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64) + record
+            containers, offsets = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+            edges = [i for i, k in enumerate(keys) if i == 0 or k != keys[i - 1]] + [len(keys)]
+            for at, end in zip(edges, edges[1:]):  # the rows of one stream
+                if keys[at] != key:
+                    key, used, container = keys[at], 0, 0
+                upto = np.cumsum(records[at:end])
+                done = 0
+                while done < end - at:  # as many as leave the open container below capacity; one at least in a new one
+                    before = upto[done - 1] if done else 0
+                    stop = int(np.searchsorted(upto, before + capacity - used))
+                    if stop == done and used:
+                        used, container = 0, container + 1
+                        continue
+                    stop = max(stop, done + 1)
+                    containers[at + done : at + stop] = container
+                    offsets[at + done : at + stop] = upto[done:stop] - records[at + done : at + stop] - before + used
+                    used += int(upto[stop - 1] - before)
+                    done = stop
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(containers), pa.array(offsets)], schema.names)
 
     packed = ordered.mapInArrow(run, schema).drop(size)
     return chunks.join(packed, [*streams, *[c for c in order if c not in streams]])

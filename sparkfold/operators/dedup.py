@@ -66,6 +66,18 @@ def sketch_counts(chunks: DataFrame, depth: int = 4, width: int = 262_144, fp: s
     return cells.groupBy("sketch_row", "position").agg(F.count("*").alias("cell"))
 
 
+def running_estimates(chunks: DataFrame, order: tuple, depth: int = 4, width: int = 262_144, fp: str = "fp") -> DataFrame:
+    """order, fp and estimate: what the sketch tells of each chunk just after its own update.
+
+    A cell's count so far is that of the chunks up to this one that fall on it; the estimate is the least cell.
+    """
+    from ..functions.scalars import sketch_positions
+
+    cells = chunks.select(*order, fp, F.posexplode(sketch_positions(F.col(fp), depth, width)).alias("sketch_row", "position"))
+    so_far = Window.partitionBy("sketch_row", "position").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return cells.withColumn("cell", F.count("*").over(so_far)).groupBy(*order, fp).agg(F.min("cell").alias("estimate"))
+
+
 def sketch_estimates(chunks: DataFrame, depth: int = 4, width: int = 262_144, fp: str = "fp") -> DataFrame:
     """fp, freq, estimate: the least cell of the fingerprint in the sketch, never below its frequency."""
     from ..functions.scalars import sketch_positions

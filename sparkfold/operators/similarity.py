@@ -26,6 +26,39 @@ def choose_base(chunks: DataFrame, owners: DataFrame, fp: str = "fp", sf: str =
     return hits.groupBy(fp).agg(F.min(F.struct("slot", "base_fp")).alias("_hit")).select(fp, "_hit.base_fp", "_hit.slot")
 
 
+def may_be_delta(chunks: DataFrame, plain_prefix: str | None = None, fp: str = "fp") -> DataFrame:
+    """The new chunks that may look for a base: all, but those whose fingerprint has the prefix of plain ones."""
+    return chunks.filter(~F.col(fp).startswith(plain_prefix)) if plain_prefix else chunks
+
+
+def swap_owners(index: DataFrame, pairs: DataFrame, digests: DataFrame) -> DataFrame:
+    """The index (slot, feature, base_fp, base_order) after new chunks took the places of old ones.
+
+    pairs has old_fp and new_fp; digests has fp, insert_seq, slot, feature of both. All places of old and of
+    new ones are cleared, whoever owns them, then the new ones are entered.
+    """
+    new = pairs.select(F.col("new_fp").alias("fp")).distinct()
+    ends = pairs.select(F.col("old_fp").alias("fp")).unionByName(new).distinct()
+    cleared = index.join(digests.join(ends, "fp", "left_semi").select("slot", "feature").distinct(), ["slot", "feature"], "left_anti")
+    owners = digests.join(new, "fp", "left_semi")
+    return cleared.unionByName(owners.select("slot", "feature", F.col("fp").alias("base_fp"), F.col("insert_seq").alias("base_order")))
+
+
+def greedy_share(ranked: DataFrame, total: int, alpha: float) -> DataFrame:
+    """The pairs (rank, saved) worked on while more than alpha of the stored bytes is left, in order of rank.
+
+    Bytes left before a pair are the total less what earlier pairs saved. Earlier ones are summed by
+    thousands of ranks, then within a thousand.
+    """
+    rows = ranked.withColumn("_run", F.floor(F.col("rank") / 1000))
+    runs = rows.groupBy("_run").agg(F.sum("saved").alias("_s"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("_run", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy("_run").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(runs, "_run").withColumn("left", F.lit(total) - F.col("_shift") - F.coalesce(F.sum("saved").over(inside), F.lit(0)))
+    return rows.filter(F.col("left") > F.lit(alpha * total)).drop("_run", "_shift")
+
+
 def poor_locality(n: Column, containers: Column, threshold: float = 0.03) -> Column:
     """Whether a batch of n chunks needs more distinct base containers than the whole part of n * threshold."""
     return containers > F.floor(n * F.lit(threshold))

@@ -13,13 +13,16 @@ from ..functions.superfeatures import super_feature
 from ..operators import containers, dedup, metrics, similarity
 from ..operators.chunking import SMALL, ChunkSpec, cdc_chunks, fixed_chunks
 from ..runtime import keep, load, shared_folder
-from ..sources.streams import mutated, numbered, synthetic_payload, text_stream, trace
-from ..streaming.ingest import chunk_stream, run_to_end, unique_chunks
+from ..sources.streams import mutated, numbered, synthetic_payload, text_stream, trace, trace_line
+from ..streaming.ingest import chunk_stream, ingest_streams, run_to_end, unique_chunks
+from .reports import chunk_log
 from .store import POLICIES, Options, Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 SIZE = 512
+#: Sizes of content-defined chunks that short texts have several of.
+TINY = ChunkSpec(16, 32, 64)
 KEY = b"0123456789abcdef"
 #: The chunks of documents: doc_id, source, seq, off, c (bytes), fp.
 CHUNKS = f"""ch AS (SELECT doc_id, source, o // {SIZE} AS seq, o AS off, encode(text)[o + 1 : o + {SIZE}] AS c, sha256(encode(text)[o + 1 : o + {SIZE}]) AS fp
@@ -123,6 +126,23 @@ def cms_positions(spark, sf_dir):
     return chunks(spark, sf_dir).select("fp").distinct().select("fp", *[at[i].alias(f"p{i}") for i in range(4)])
 
 
+_CELLS = ", ".join(f"({i}, {_WORD.format(*[i * 8 + 2 * b + 1 for b in range(4)]).replace('262144', '64')})" for i in range(4))
+
+
+@query(
+    f"""WITH {CHUNKS}, x AS (SELECT doc_id, seq, fp, i, p, count(*) OVER (PARTITION BY i, p ORDER BY doc_id, seq ROWS UNBOUNDED PRECEDING) AS cell FROM ch, LATERAL (VALUES {_CELLS}) t(i, p))
+SELECT doc_id, CAST(seq AS BIGINT) AS seq, min(cell) AS estimate FROM x GROUP BY ALL"""
+)
+def cms_running_estimates(spark, sf_dir):
+    return dedup.running_estimates(chunks(spark, sf_dir), ("doc_id", "seq"), width=64).select("doc_id", "seq", "estimate")
+
+
+@query(f"WITH {CHUNKS}, u AS (SELECT fp, min(doc_id) AS doc_id FROM ch GROUP BY fp) SELECT * FROM u WHERE NOT starts_with(fp, 'a1')")
+def delta_candidates(spark, sf_dir):
+    fresh = dedup.first_occurrences(chunks(spark, sf_dir).select("fp", "doc_id", "seq"), ("doc_id", "seq"))
+    return similarity.may_be_delta(fresh, "a1").select("fp", "doc_id")
+
+
 @query(f"WITH {CHUNKS} SELECT source, fp, count(*) AS n, fp IN (SELECT fp FROM ch WHERE source = 'src0') AS duplicate FROM ch GROUP BY source, fp")
 def probe_with_hot_chunks(spark, sf_dir):
     rows = chunks(spark, sf_dir)
@@ -238,6 +258,63 @@ def container_packing_exact(spark, sf_dir):
     return filled.groupBy("source").agg(F.sum("n").alias("n_chunks"), F.sum("b").alias("bytes"), (F.max("top") <= 65536 + containers.ADDRESS).alias("fits"))
 
 
+_PACKED = """WITH RECURSIVE {fresh}, s AS MATERIALIZED (SELECT source, {kind} AS is_delta, fp, n + {record} AS n, row_number() OVER (PARTITION BY source, {kind} ORDER BY doc_id, seq) AS k FROM u),
+r AS (SELECT source, is_delta, k, fp, 0 AS container, 0 AS off, n AS used FROM s WHERE k = 1 UNION ALL
+  SELECT s.source, s.is_delta, s.k, s.fp, CASE WHEN r.used + s.n >= 65536 THEN r.container + 1 ELSE r.container END, CASE WHEN r.used + s.n >= 65536 THEN 0 ELSE r.used END, CASE WHEN r.used + s.n >= 65536 THEN s.n ELSE r.used + s.n END
+  FROM r JOIN s ON s.source = r.source AND s.is_delta = r.is_delta AND s.k = r.k + 1)
+SELECT source, is_delta, fp, CAST(container AS BIGINT) AS container, CAST(off AS BIGINT) AS off FROM r"""
+
+
+def _assigned(spark, sf_dir, is_delta, record: int) -> DataFrame:
+    fresh = dedup.first_occurrences(chunks(spark, sf_dir), ("doc_id", "seq")).withColumn("is_delta", is_delta)
+    packed = containers.pack_exactly(fresh, ("doc_id", "seq"), "chunk_size", ("source", "is_delta"), 65536, record)
+    return packed.select("source", "is_delta", "fp", "container", F.col("offset").alias("off"))
+
+
+@query(_PACKED.format(fresh=_FRESH, kind="(fp < '6')", record=288))
+def container_assignment(spark, sf_dir):
+    """Chunks in containers of bases and of deltas; the first digit of the fingerprint stands for the kind."""
+    return _assigned(spark, sf_dir, F.col("fp") < "6", containers.RECORD)
+
+
+@query(_PACKED.format(fresh=_FRESH, kind="false", record=16))
+def container_assignment_without_header(spark, sf_dir):
+    return _assigned(spark, sf_dir, F.lit(False), containers.PLAIN_RECORD)
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, CAST(seq AS BIGINT) AS seq, {" || ':' || ".join(f'substr(fp, {2 * i + 1}, 2)' for i in range(6))} || chr(9) || octet_length(c) AS line, octet_length(c) AS size FROM ch")
+def trace_writer(spark, sf_dir):
+    lines = chunks(spark, sf_dir).select("doc_id", "seq", trace_line(F.col("fp"), F.col("chunk_size")).alias("value"))
+    return trace(lines).select("doc_id", "seq", F.col("value").alias("line"), "size")
+
+
+@query(
+    f"""WITH {_PLACED}, p AS (SELECT source, place // 128 AS batch, fp, octet_length(c) AS n FROM pl),
+s AS (SELECT source, sum(n) - sum(CASE WHEN first THEN n ELSE 0 END) AS saved, count(DISTINCT batch) AS calls, count(DISTINCT substr(fp, 1, 1)) AS containers FROM (SELECT *, row_number() OVER (PARTITION BY source, fp) = 1 AS first FROM p) GROUP BY source)
+SELECT source, CAST(saved AS DOUBLE) / (calls + containers) / 1024 AS kib_per_call FROM s"""
+)
+def saved_per_call(spark, sf_dir):
+    placed = _in_containers(spark, sf_dir)
+    sums = placed.groupBy("source").agg(F.sum("chunk_size").alias("logical"), F.count_distinct("batch").alias("calls"), F.count_distinct("container").alias("containers"))
+    unique = placed.groupBy("source", "fp").agg(F.first("chunk_size").alias("n")).groupBy("source").agg(F.sum("n").alias("unique"))
+    saved = (F.col("logical") - F.col("unique")).cast("double")
+    return sums.join(unique, "source").select("source", metrics.saved_per_call(saved, F.col("calls"), F.col("containers")).alias("kib_per_call"))
+
+
+_THRESHOLDS = (0.0, 0.01, 0.03, 0.1)
+
+
+@query(
+    f"""WITH {_PLACED}, b AS (SELECT count(*) AS n, count(DISTINCT substr(fp, 1, 1)) AS k FROM pl GROUP BY source, place // 128)
+SELECT CAST(t AS DOUBLE) AS threshold, count(*) AS batches, CAST(sum(CASE WHEN k > floor(n * CAST(t AS DOUBLE)) THEN 1 ELSE 0 END) AS BIGINT) AS deferred FROM b, (VALUES (0.0), (0.01), (0.03), (0.1)) v(t) GROUP BY t"""
+)
+def threshold_sweep(spark, sf_dir):
+    counted = similarity.batch_locality(_in_containers(spark, sf_dir), ("source",), "container").select("n", "containers")
+    swept = counted.withColumn("threshold", F.explode(F.array(*map(F.lit, _THRESHOLDS))))
+    late = F.col("containers") > F.floor(F.col("n") * F.col("threshold"))
+    return swept.groupBy("threshold").agg(F.count("*").alias("batches"), F.sum(late.cast("long")).alias("deferred"))
+
+
 @query("SELECT sha256(encode(text)) AS fp, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
 def document_exact_duplicates(spark, sf_dir):
     rows = streams(spark, sf_dir).select("doc_id", fingerprint(F.col("payload")).alias("fp"))
@@ -266,7 +343,7 @@ def lineitem_record_dedup(spark, sf_dir):
 
 
 @query(
-    """WITH b AS (SELECT lang, substr(hex(encode(text)), 2 * i + 1, 2) AS byte FROM documents, unnest(range(0, octet_length(encode(text)))) t(i)),
+    """WITH b AS (SELECT lang, unnest(regexp_extract_all(hex(encode(text)), '..')) AS byte FROM documents),
 c AS (SELECT lang, byte, count(*) AS n FROM b GROUP BY ALL), s AS (SELECT lang, sum(n) AS t, count(*) AS d FROM c GROUP BY lang)
 SELECT lang, CAST(any_value(t) AS BIGINT) AS n_bytes, any_value(d) AS distinct_bytes, round(-sum(n / t * ln(n / t)) / ln(any_value(d)), 9) AS entropy FROM c JOIN s USING (lang) GROUP BY lang"""
 )
@@ -275,13 +352,7 @@ def byte_entropy_by_lang(spark, sf_dir):
     return metrics.byte_entropy(rows, "payload", ("lang",)).withColumn("entropy", F.round("entropy", 9))
 
 
-@query("SELECT doc_id, CAST(list_sum(list_transform(range(0, octet_length(encode(text))), lambda i: CAST('0x' || substr(hex(encode(text)), 2 * i + 1, 2) AS BIGINT))) % 4294967296 AS BIGINT) AS bytes_total FROM documents WHERE octet_length(encode(text)) <= 2000")
-def byte_sums_of_short_documents(spark, sf_dir):
-    rows = streams(spark, sf_dir).filter(F.length("payload") <= 2000)
-    return rows.select("doc_id", byte_sum(F.col("payload")).alias("bytes_total"))
-
-
-@query()
+@query("SELECT doc_id, CAST(coalesce(list_sum(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT))), 0) % 4294967296 AS BIGINT) AS bytes_total FROM documents")
 def byte_sums_of_documents(spark, sf_dir):
     return streams(spark, sf_dir).select("doc_id", byte_sum(F.col("payload")).alias("bytes_total"))
 
@@ -291,9 +362,8 @@ _WHOLE = "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes,
 
 def joined(parts: DataFrame, chunk: str = "chunk", keys: tuple = ("doc_id",), order: str = "seq") -> DataFrame:
     """keys, n_bytes, fp of the chunks put together in order."""
-    whole = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, chunk))).alias("_parts"))
-    data = F.aggregate(F.transform("_parts", lambda p: p[chunk]), F.lit(b""), lambda a, x: F.concat(a, x))
-    return whole.select(*keys, data.alias("_data")).select(*keys, F.length("_data").cast("long").alias("n_bytes"), fingerprint(F.col("_data")).alias("fp"))
+    whole = parts.groupBy(*keys).agg(F.expr(f"listagg({chunk}, X'') WITHIN GROUP (ORDER BY {order})").alias("_data"))
+    return whole.select(*keys, F.length("_data").cast("long").alias("n_bytes"), fingerprint(F.col("_data")).alias("fp"))
 
 
 @query(f"{_WHOLE} WHERE octet_length(encode(text)) > 0")
@@ -321,6 +391,23 @@ def lz4_roundtrip(spark, sf_dir):
     return rows.select("doc_id", F.col("n").cast("long").alias("n_bytes"), fingerprint(unlz4(F.col("z"), F.col("n"))).alias("fp"))
 
 
+_GEAR = "(SELECT list(CAST('0x' || substr(s, 7, 2) || substr(s, 5, 2) || substr(s, 3, 2) || substr(s, 1, 2) AS BIGINT) >> 1 ORDER BY i) FROM (SELECT i, sha256('sparkfold:' || i) AS s FROM range(256) t(i)))"
+
+
+@query(
+    f"""WITH RECURSIVE g AS MATERIALIZED (SELECT {_GEAR} AS gear),
+d AS MATERIALIZED (SELECT item_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: gear[CAST('0x' || x AS INTEGER) + 1]) AS v, octet_length(encode(text)) AS n FROM benchmark, g),
+r AS (SELECT item_id, 0 AS start, {{least}} AS pos, v[{{least}} + 1] AS h FROM d WHERE n > {{least}} UNION ALL
+  SELECT r.item_id, CASE WHEN cut THEN pos + 1 ELSE start END, CASE WHEN cut THEN pos + 1 + {{least}} ELSE pos + 1 END, CASE WHEN cut THEN v[pos + {{least}} + 2] ELSE (h >> 1) + v[pos + 2] END
+  FROM (SELECT *, (h & {{loose}}) = 0 OR pos + 1 - start = {{most}} AS cut FROM r) r JOIN d USING (item_id) WHERE CASE WHEN cut THEN pos + 1 + {{least}} ELSE pos + 1 END < n),
+e AS (SELECT item_id, pos + 1 AS cut_end FROM r WHERE (h & {{loose}}) = 0 OR pos + 1 - start = {{most}} UNION SELECT item_id, n FROM d WHERE n > 0)
+SELECT item_id, CAST(cut_end AS BIGINT) AS cut_end FROM e""".format(least=TINY.least, most=TINY.most, loose=TINY.masks[1])
+)
+def cdc_cut_points(spark, sf_dir):
+    rows = load(spark, sf_dir, "benchmark").select("item_id", as_bytes(F.col("text")).alias("payload"))
+    return cdc_chunks(rows, "payload", TINY, ("item_id",)).select("item_id", (F.col("offset") + F.length("chunk")).cast("long").alias("cut_end"))
+
+
 @query("SELECT count(*) AS documents, true AS no_longer FROM documents")
 def lz4_never_longer(spark, sf_dir):
     rows = streams(spark, sf_dir).select(F.length("payload").alias("n"), F.length(lz4(F.col("payload"))).alias("z"))
@@ -400,6 +487,52 @@ def delta_of_mutated_documents(spark, sf_dir):
     return back.select("doc_id", F.length("p").cast("long").alias("n_bytes"), fingerprint(F.col("p")).alias("fp"))
 
 
+#: Features that SQL can give as well: of each document one per slot.
+_FEATURED = """f AS (SELECT doc_id, sha256(CAST(doc_id AS VARCHAR)) AS fp, n_chars AS chunk_size, doc_id % 7 * 1000000 + doc_id AS insert_seq, doc_id % 3 = 0 AS base,
+  [md5(lang || (n_chars % 97)), md5(source || (n_chars % 13)), md5(CAST(n_chars % 31 AS VARCHAR))] AS sf FROM documents),
+i AS (SELECT doc_id, fp, chunk_size, insert_seq, base, CAST(s AS INTEGER) AS slot, sf[s + 1] AS feature FROM f, range(3) t(s)),
+o AS (SELECT slot, feature, arg_min(fp, (insert_seq, fp)) AS base_fp FROM i WHERE base GROUP BY ALL),
+h AS (SELECT i.fp, i.slot, o.base_fp FROM i JOIN o USING (slot, feature) WHERE NOT base AND chunk_size >= 300 QUALIFY row_number() OVER (PARTITION BY i.fp ORDER BY i.slot) = 1)"""
+
+
+def _featured(spark, sf_dir) -> DataFrame:
+    text = lambda c: F.col(c).cast("string")
+    docs = load(spark, sf_dir, "documents").withColumns({f"n{m}": (F.col("n_chars") % m).cast("string") for m in (97, 13, 31)})
+    sf = F.array(F.md5(F.concat("lang", "n97")), F.md5(F.concat("source", "n13")), F.md5(F.col("n31")))
+    return docs.select("doc_id", F.sha2(text("doc_id"), 256).alias("fp"), F.col("n_chars").alias("chunk_size"), (F.col("doc_id") % 7 * 1000000 + F.col("doc_id")).alias("insert_seq"), (F.col("doc_id") % 3 == 0).alias("base"), sf.alias("sf"))
+
+
+@query(f"WITH {_FEATURED} SELECT * FROM h")
+def base_choice_by_slots(spark, sf_dir):
+    rows = _featured(spark, sf_dir)
+    owners = similarity.index_owners(similarity.feature_index(rows.filter("base")))
+    return similarity.choose_base(rows.filter("not base"), owners, least_bytes=300)
+
+
+@query(f"WITH {_FEATURED} SELECT (SELECT count(*) FROM f) * 80 AS fp_bytes, (SELECT count(*) FROM o) * 64 AS sf_bytes, (SELECT count(*) + count(DISTINCT base_fp) FROM h) * 32 AS delta_bytes")
+def index_sizes(spark, sf_dir):
+    rows = _featured(spark, sf_dir)
+    index = similarity.feature_index(rows.filter("base"))
+    hits = similarity.choose_base(rows.filter("not base"), similarity.index_owners(index), least_bytes=300)
+    counts = [rows.agg(F.count_distinct("fp").alias("n")), index.agg(F.count_distinct("slot", "feature").alias("m")), hits.agg(F.count_distinct("base_fp").alias("k"), F.count("*").alias("e"))]
+    one = counts[0].crossJoin(counts[1]).crossJoin(counts[2])  # one row each
+    return one.select(*[c.alias(k) for k, c in metrics.index_bytes(F.col("n"), F.col("m"), F.col("k"), F.col("e")).items()])
+
+
+@query(
+    f"""WITH {_FEATURED}, p AS (SELECT a.fp AS old_fp, b.fp AS new_fp FROM f a JOIN f b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 6 = 0),
+ends AS (SELECT old_fp AS fp FROM p UNION SELECT new_fp FROM p), gone AS (SELECT DISTINCT slot, feature FROM i JOIN ends USING (fp))
+SELECT slot, feature, fp AS base_fp, insert_seq AS base_order FROM i ANTI JOIN gone USING (slot, feature) WHERE base
+UNION ALL SELECT slot, feature, i.fp, insert_seq FROM i WHERE fp IN (SELECT new_fp FROM p)"""
+)
+def index_after_swap(spark, sf_dir):
+    rows = _featured(spark, sf_dir)
+    later = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("fp").alias("new_fp"))
+    pairs = rows.filter("doc_id % 6 = 0").select("doc_id", F.col("fp").alias("old_fp")).join(later, "doc_id").select("old_fp", "new_fp")
+    digests = rows.select("fp", "insert_seq", F.posexplode("sf").alias("slot", "feature"))
+    return similarity.swap_owners(similarity.feature_index(rows.filter("base")), pairs, digests)
+
+
 _BATCHES = f"""{_PLACED}, x AS (SELECT source, place // 128 AS batch, c, substr(fp, 1, 1) AS container FROM pl)"""
 
 
@@ -432,6 +565,38 @@ def pending_pairs_revised(spark, sf_dir):
     return similarity.latest_bases(rows).select("old_fp", "new_fp", "n")
 
 
+_ALPHAS = (0.0, 0.3, 0.5, 0.7, 1.0)
+
+
+@query(
+    """WITH p AS (SELECT l_partkey AS o, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS saved FROM lineitem GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY n DESC, CAST(o AS VARCHAR)) AS rank FROM p), t AS (SELECT CAST(sum(saved) AS BIGINT) * 2 AS total FROM p),
+l AS (SELECT *, total - (sum(saved) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) - saved) AS rest FROM r, t)
+SELECT CAST(a AS DOUBLE) AS alpha, count(*) AS pairs, CAST(sum(saved) AS BIGINT) AS saved FROM l, (VALUES (0.0), (0.3), (0.5), (0.7), (1.0)) v(a) WHERE rest > CAST(a AS DOUBLE) * total GROUP BY a"""
+)
+def alpha_sweep(spark, sf_dir):
+    """How many pairs an offline pass works on, by the share of the bytes at which it stops."""
+    pairs = load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("old_fp")).agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("saved"))
+    ranked = keep(similarity.rank_pairs(pairs.withColumn("new_fp", F.lit("new"))), "ranked")
+    total = 2 * (ranked.agg(F.sum("saved")).first()[0] or 0)
+    out = None
+    for alpha in _ALPHAS:
+        one = similarity.greedy_share(ranked, total, alpha).agg(F.count("*").alias("pairs"), F.sum("saved").alias("saved")).select(F.lit(alpha).alias("alpha"), "pairs", "saved")
+        out = one if out is None else out.unionByName(one)
+    return out.filter("pairs > 0")
+
+
+@query(
+    """WITH p AS (SELECT l_partkey AS o, l_orderkey * 8 + l_linenumber AS w FROM lineitem), l AS (SELECT o, max(w) AS w, count(*) AS n FROM p GROUP BY o),
+s AS (SELECT CAST(o AS VARCHAR) AS old_fp, 'n' || w AS new_fp, n FROM l UNION SELECT 'n' || p.w, 'n' || l.w, 0 FROM p JOIN l USING (o) WHERE p.w <> l.w)
+SELECT old_fp, new_fp, CAST(row_number() OVER (ORDER BY n DESC, old_fp, new_fp) AS INTEGER) AS rank FROM s"""
+)
+def pending_pairs_ranked(spark, sf_dir):
+    seq = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    rows = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("old_fp"), F.concat(F.lit("n"), seq.cast("string")).alias("new_fp"), seq.alias("batch_seq"), F.lit(0).cast("long").alias("pair_seq"))
+    return similarity.rank_pairs(similarity.latest_bases(rows)).select("old_fp", "new_fp", "rank")
+
+
 @query("SELECT CAST(l_suppkey AS VARCHAR) AS container_id, CAST(sum(l_quantity) AS BIGINT) AS dead FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_suppkey")
 def dead_bytes_per_container(spark, sf_dir):
     rows = load(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_suppkey").cast("string").alias("container_id"), F.col("l_quantity").cast("long").alias("length"))
@@ -461,6 +626,20 @@ def merged_containers(spark, sf_dir):
     return into.agg(F.sum("n").alias("containers"), F.sum("b").alias("bytes"), (F.max("b") < capacity).alias("fits"))
 
 
+_MERGED = """WITH RECURSIVE z AS MATERIALIZED (SELECT 'c' || lpad(CAST(o_custkey AS VARCHAR), 7, '0') AS name, CAST(sum(o_totalprice) AS BIGINT) AS bytes FROM orders GROUP BY 1),
+s AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY name) AS k, (SELECT max(bytes) FROM z) AS cap FROM z),
+r AS (SELECT k, name, name AS open, bytes AS held, name AS merged_into FROM s WHERE k = 1 UNION ALL
+  SELECT s.k, s.name, CASE WHEN r.open IS NOT NULL AND r.held + s.bytes < s.cap - 1 THEN NULL ELSE s.name END, s.bytes, CASE WHEN r.open IS NOT NULL AND r.held + s.bytes < s.cap - 1 THEN r.open ELSE s.name END FROM r JOIN s ON s.k = r.k + 1)
+SELECT name AS container_id, merged_into FROM r"""
+
+
+@query(_MERGED)
+def merged_pairs(spark, sf_dir):
+    name = F.concat(F.lit("c"), F.lpad(F.col("o_custkey").cast("string"), 7, "0"))
+    sizes = keep(load(spark, sf_dir, "orders").groupBy(name.alias("container_id")).agg(F.sum("o_totalprice").cast("long").alias("bytes")), "sizes")
+    return containers.merge_pairs(sizes, sizes.agg(F.max("bytes")).first()[0] or 1)
+
+
 @query(
     """SELECT event_id, lpad(lower(to_hex(event_id % 251)), 2, '0') || lpad(lower(to_hex(event_id % 241)), 2, '0') || '0a0b0c0d' AS prefix, least(user_id * 37 + 64, 16384) AS size FROM events"""
 )
@@ -482,16 +661,18 @@ def synthetic_trace_chunks(spark, sf_dir):
 # stores
 
 
-def _store(spark, policy: str, backups: list[DataFrame], least: int = 0) -> tuple[Store, list[DataFrame]]:
-    """A new store with the backups (doc_id, text), each document in chunks of 16 KiB; also their numbering."""
-    store = Store(spark, shared_folder(spark, "store"), Options(policy=policy, least_similar_bytes=least))
-    places = []
-    for i, docs in enumerate(backups):
-        data = docs.select(F.lit(f"b{i}").alias("backup_id"), "doc_id", as_bytes(F.coalesce("text", F.lit(""))).alias("payload"))
-        parts = keep(numbered(fixed_chunks(data, "payload", 16384, ("backup_id", "doc_id")), "backup_id", ("doc_id", "seq")), "backup")
-        store.ingest(f"b{i}", parts.select(F.col("place").alias("seq"), "chunk"))
-        places.append(parts.select("backup_id", F.col("place").alias("seq"), "doc_id"))
-    return store, places
+def _ingest(store: Store, name: str, docs: DataFrame) -> DataFrame:
+    """Adds a backup of the documents (doc_id, text), each in chunks of 16 KiB; returns their numbering."""
+    data = docs.select(F.lit(name).alias("backup_id"), "doc_id", as_bytes(F.coalesce("text", F.lit(""))).alias("payload"))
+    parts = keep(numbered(fixed_chunks(data, "payload", 16384, ("backup_id", "doc_id")), "backup_id", ("doc_id", "seq")), "backup")
+    store.ingest(name, parts.select(F.col("place").alias("seq"), "chunk"))
+    return parts.select("backup_id", F.col("place").alias("seq"), "doc_id")
+
+
+def _store(spark, policy: str, backups: list[DataFrame], least: int = 0, key: bytes | None = None) -> tuple[Store, list[DataFrame]]:
+    """A new store with the backups (doc_id, text); also their numbering."""
+    store = Store(spark, shared_folder(spark, "store"), Options(policy=policy, least_similar_bytes=least, key=key))
+    return store, [_ingest(store, f"b{i}", docs) for i, docs in enumerate(backups)]
 
 
 def _restored(store: Store, places: list[DataFrame]) -> DataFrame:
@@ -513,9 +694,48 @@ def _restore_query(policy: str):
     query(_HALVES)(run)
 
 
-for _policy in POLICIES:
+for _policy in tuple(POLICIES):
     _restore_query(_policy)
 
+_BIG = "c AS (SELECT doc_id, doc_id % 2 AS half, encode(text)[o + 1 : o + 16384] AS c, sha256(encode(text)[o + 1 : o + 16384]) AS fp FROM documents, unnest(range(0, octet_length(encode(text)), 16384)) t(o))"
+
+
+def _halves(spark, sf_dir, policy: str = "dedup_only", key: bytes | None = None):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return _store(spark, policy, [docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")], key=key)
+
+
+@query(_HALVES)
+def restore_with_encrypted_recipes(spark, sf_dir):
+    store, places = _halves(spark, sf_dir, "inline", KEY)
+    if store.table("recipes").join(store.table("chunks").select("fp"), "fp", "left_semi").limit(1).count():
+        raise ValueError("a recipe shows fingerprints")
+    return _restored(store, places)
+
+
+@query(
+    f"""WITH {_BIG}, u AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY half) = 1 AS fresh FROM c),
+p AS (SELECT half, count(*) AS l, sum(CASE WHEN fresh THEN 1 ELSE 0 END) AS u, sum(octet_length(c)) AS lb, sum(CASE WHEN fresh THEN octet_length(c) ELSE 0 END) AS ub FROM u GROUP BY half)
+SELECT 'b' || half AS backup_id, CAST(sum(l) OVER w AS BIGINT) AS logical_chunks, CAST(sum(u) OVER w AS BIGINT) AS unique_chunks, CAST(sum(u) OVER w AS BIGINT) AS base_chunks, CAST(0 AS BIGINT) AS delta_chunks,
+  CAST(sum(lb) OVER w AS BIGINT) AS logical_bytes, CAST(sum(ub) OVER w AS BIGINT) AS unique_bytes, CAST(sum(ub) OVER w AS BIGINT) AS stored_or_saved FROM p WINDOW w AS (ORDER BY half ROWS UNBOUNDED PRECEDING)"""
+)
+def store_chunk_log(spark, sf_dir):
+    log = chunk_log(_halves(spark, sf_dir)[0])
+    names = ("backup_id", "logical_chunks", "unique_chunks", "base_chunks", "delta_chunks", "logical_bytes", "unique_bytes")
+    return log.select(*names, (F.col("base_bytes") + F.col("delta_bytes") + F.col("lz4_saved") + F.col("delta_saved")).alias("stored_or_saved"))
+
+
+@query(f"WITH {_BIG}, x AS (SELECT i, p FROM c, LATERAL (VALUES {_CELLS.replace('% 64', '% 262144')}) t(i, p)) SELECT i AS sketch_row, CAST(p AS BIGINT) AS position, count(*) AS cell FROM x GROUP BY ALL")
+def store_sketch(spark, sf_dir):
+    """The sketch as a later session reads it, remembered after each of two backups."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    store, _ = _store(spark, "dedup_only", [docs.filter("doc_id % 2 = 0")])
+    store.remember()
+    _ingest(store, "b1", docs.filter("doc_id % 2 = 1"))
+    store.remember()
+    return Store(spark, store.path).sketch()
+
+
 _EDIT = "CASE WHEN doc_id % 3 = {0} THEN substr(text, 1, CAST(floor(length(text) * 0.5) AS BIGINT)) || ' passage {0} of ' || doc_id || '. ' || substr(text, CAST(floor(length(text) * 0.5) AS BIGINT) + 1) ELSE text END"
 
 
@@ -558,3 +778,17 @@ def stream_ingest_equals_batch(spark, sf_dir):
     schema = load(spark, sf_dir, "documents").schema.simpleString()[7:-1].replace(":", " ")
     found = run_to_end(unique_chunks(chunk_stream(spark, path, schema, size=SIZE)), shared_folder(spark, "stream"), shared_folder(spark, "offsets"))
     return found.groupBy("chunk_size").agg(F.count("*").alias("unique_chunks"))
+
+
+@query(f"WITH {CHUNKS} SELECT 'c' || (doc_id % 2) AS client, count(*) AS entries, count(DISTINCT fp) AS unique_chunks, CAST(sum(octet_length(c)) AS BIGINT) AS logical_bytes FROM ch GROUP BY 1")
+def clients_stream_ingest(spark, sf_dir):
+    """Two clients' streams, each a query of its own, into one store."""
+    schema = load(spark, sf_dir, "documents").schema.simpleString()[7:-1].replace(":", " ")
+    whole = lambda: chunk_stream(spark, f"{sf_dir}/documents.parquet", schema, size=SIZE)
+    streams_ = {f"c{i}": whole().filter(F.col("doc_id") % 2 == i) for i in (0, 1)}
+    path = shared_folder(spark, "clients")
+    ingest_streams(streams_, path, shared_folder(spark, "offsets"), Options(policy="dedup_only"))
+    store = Store(spark, path)
+    sizes = store.table("chunks").select("fp", "logical_len")
+    rows = store.recipes().join(sizes, "fp").withColumn("client", F.split("backup_id", "/")[0])
+    return rows.groupBy("client").agg(F.count("*").alias("entries"), F.count_distinct("fp").alias("unique_chunks"), F.sum("logical_len").alias("logical_bytes"))

@@ -4,8 +4,9 @@ Tables are lists of Parquet folders named by a manifest. A commit writes new fol
 manifest, so readers see whole versions and a failed commit leaves the old one. One writer at a time;
 inside a commit all work is parallel.
 
-A chunk may be coded against a base of an earlier commit (a deterministic form of "already written").
-Index joins move fingerprints and digests; payloads are joined last, for the chunks that need them.
+A chunk may be coded against a base of an earlier commit, or of an earlier batch of its own backup: there
+against the chunks that are like no earlier one, which are sure to be stored as bases (both are
+deterministic forms of "already written"). Index joins move fingerprints and digests; payloads are joined last, for the chunks that need them.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,11 +24,53 @@ from ..functions.codecs import delta, lz4, patch, unlz4
 from ..functions.scalars import container_name, decrypt, encrypt, fingerprint
 from ..functions.superfeatures import super_feature
 from ..operators.containers import merge_pairs, pack_exactly
-from ..operators.dedup import BATCH, first_occurrences, new_chunks
-from ..operators.similarity import choose_base, feature_index, index_owners, latest_bases, poor_locality, rank_pairs
+from ..operators.dedup import BATCH, first_occurrences, new_chunks, sketch_counts
+from ..operators.similarity import choose_base, feature_index, greedy_share, index_owners, latest_bases, may_be_delta, poor_locality, rank_pairs, swap_owners
 from ..runtime import keep, prepare, read_text, write_text
 
-POLICIES = ("dedup_only", "inline", "inline_no_offline", "container_affinity", "adaptive")
+
+def _always(similar: DataFrame, sizes: DataFrame, options: Options) -> DataFrame:
+    return similar.withColumns({"use": F.lit(True), "late": F.lit(False)})
+
+
+def _affine(similar: DataFrame, sizes: DataFrame, options: Options) -> DataFrame:
+    """Deltas only where a batch needs a container often."""
+    together = Window.partitionBy("batch", "base_container")
+    return similar.withColumn("use", F.count("*").over(together) > options.affinity_threshold).withColumn("late", F.lit(False))
+
+
+def _local(similar: DataFrame, sizes: DataFrame, options: Options) -> DataFrame:
+    """Deltas in batches of good locality; the similar chunks of others are late."""
+    needs = similar.groupBy("batch").agg(F.count_distinct("base_container").alias("containers"))
+    poor = needs.join(sizes, "batch").select("batch", poor_locality(F.col("n"), F.col("containers"), options.locality_threshold).alias("late"))
+    return similar.join(poor, "batch").withColumn("use", ~F.col("late"))
+
+
+@dataclass(frozen=True)
+class Policy:
+    """What becomes of similar chunks. ``mark`` adds to similar (fp, batch, base_fp, base_container) whether a
+    delta is tried (use) and whether the chunk is stored as a base that is no base for others yet (late);
+    sizes has batch and n, its chunks. Without mark there are no deltas. ``offline``: late pairs wait for
+    the offline pass."""
+
+    mark: Callable[[DataFrame, DataFrame, Options], DataFrame] | None
+    offline: bool = False
+
+
+#: The policies by name; ``register_policy`` adds to them.
+POLICIES: dict[str, Policy] = {
+    "dedup_only": Policy(None),
+    "inline": Policy(_always),
+    "inline_no_offline": Policy(_local),
+    "container_affinity": Policy(_affine),
+    "adaptive": Policy(_local, offline=True),
+}
+
+
+def register_policy(name: str, policy: Policy) -> None:
+    POLICIES[name] = policy
+
+
 SCHEMAS = {
     "recipes": "backup_id string, seq long, fp string",
     "chunks": "fp string, is_delta boolean, base_fp string, container_id string, offset long, stored_len long, logical_len long, sf array<string>, deferred boolean, commit int, insert_seq long, payload binary",
@@ -35,6 +79,7 @@ SCHEMAS = {
     "metrics": "commit int, backup_id string, logical_chunks long, unique_chunks long, base_chunks long, delta_chunks long, deferred_chunks long, "
     "logical_bytes long, unique_bytes long, base_bytes long, delta_bytes long, lz4_saved long, delta_saved long",
     "timings": "commit int, kind string, backup_id string, seconds double",
+    "sketch": "commit int, sketch_row int, position long, cell long",
     "passes": "commit int, pairs long, rewritten long, recoded long, stored_before long, stored_after long",
 }
 
@@ -48,6 +93,10 @@ class Options:
     greedy_alpha: float = 0.0
     container_bytes: int = 4 << 20
     least_similar_bytes: int = 0
+    #: Whether chunks may have bases in earlier batches of their own backup.
+    own_bases: bool = True
+    #: Batches whose chunks go to containers in one task.
+    span: int = 4096
     #: Chunks whose fingerprint begins so are never coded as deltas; none by default.
     plain_prefix: str | None = None
     key: bytes | None = None
@@ -56,7 +105,7 @@ class Options:
 class Store:
     def __init__(self, spark: SparkSession, path: str, options: Options = Options()):
         if options.policy not in POLICIES:
-            raise ValueError(f"policy must be one of {POLICIES}")
+            raise ValueError(f"policy must be one of {tuple(POLICIES)}")
         self.spark, self.path, self.options = prepare(spark), path.rstrip("/"), options
         text = read_text(spark, f"{self.path}/MANIFEST")
         self.manifest = json.loads(text) if text else {"commit": 0, "tables": {}}
@@ -67,16 +116,28 @@ class Store:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(*paths)
 
-    def _commit(self, added: dict[str, DataFrame], replaced: dict[str, DataFrame] | None = None) -> None:
+    def _write(self, name: str, df: DataFrame) -> tuple[str, DataFrame]:
+        """Writes a folder of the next commit: its path, and df read back."""
+        path = f"{self.path}/{name}/{self.manifest['commit'] + 1:06d}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        return path, self.spark.read.schema(df.schema).parquet(path)
+
+    def _commit(self, added: dict[str, DataFrame | str], replaced: dict[str, DataFrame | str] | None = None) -> None:
+        """A new version with what is added, or stands in for a whole table: rows, or the path of a written folder."""
         tables = {k: list(v) for k, v in self.manifest["tables"].items()}
         for whole, changes in ((False, added), (True, replaced or {})):
-            for name, df in changes.items():
-                path = f"{self.path}/{name}/{self.manifest['commit'] + 1:06d}-{uuid.uuid4().hex[:8]}"
-                df.write.parquet(path)
+            for name, rows in changes.items():
+                path = rows if isinstance(rows, str) else self._write(name, rows)[0]
                 tables[name] = [path] if whole else [*tables.get(name, []), path]
         self.manifest = {"commit": self.manifest["commit"] + 1, "tables": tables}
         write_text(self.spark, f"{self.path}/MANIFEST", json.dumps(self.manifest))
 
+    def recipes(self, *backup_ids: str) -> DataFrame:
+        """backup_id, seq, fp of the backups (default: all); with a key, recipes are stored encrypted."""
+        rows = self.table("recipes")
+        rows = rows.filter(F.col("backup_id").isin(*backup_ids)) if backup_ids else rows
+        return rows.withColumn("fp", decrypt(F.unbase64("fp"), self.options.key).cast("string")) if self.options.key else rows
+
     def _open(self, payload):
         return decrypt(payload, self.options.key) if self.options.key else payload
 
@@ -93,7 +154,8 @@ class Store:
         fresh = new_chunks(first_occurrences(narrow, ("seq",)), self.table("chunks"))
         fresh = fresh.withColumn("batch", F.floor(F.col("seq") / o.batch))
         payloads = rows.select("seq", "chunk")
-        if o.policy == "dedup_only":
+        policy = POLICIES[o.policy]
+        if policy.mark is None:
             coded = fresh.join(payloads, "seq").withColumns({"base_fp": F.lit(None).cast("string"), "sf": F.lit(None).cast("array<string>"), "deferred": F.lit(False), "encoded": F.lit(None).cast("binary"), "pair": F.lit(None).cast("string")})
         else:
             coded = self._coded(narrow, keep(fresh.join(payloads, "seq").withColumn("sf", super_feature(F.col("chunk"))), "features"))
@@ -106,12 +168,13 @@ class Store:
             "fp", "is_delta", F.when(F.col("is_delta"), F.col("base_fp")).alias("base_fp"), "container_id", "offset", "stored_len", F.col("chunk_size").alias("logical_len"), "sf", "deferred",
             F.lit(commit).alias("commit"), (F.lit(commit).cast("long") * (1 << 40) + F.col("seq")).alias("insert_seq"), self._seal(F.col("stored")).alias("payload"),
         )
-        out = keep(out, "chunks")
+        chunks_path, out = self._write("chunks", out)
         bases = out.filter("not is_delta and not deferred and sf is not null")
-        added = {"recipes": narrow.select(F.lit(backup_id).alias("backup_id"), "seq", "fp"), "chunks": out, "metrics": self._measure(backup_id, commit, narrow, out)}
-        if o.policy != "dedup_only":
+        name = F.base64(encrypt(F.col("fp").cast("binary"), o.key)) if o.key else F.col("fp")
+        added = {"recipes": narrow.select(F.lit(backup_id).alias("backup_id"), "seq", name.alias("fp")), "chunks": chunks_path, "metrics": self._measure(backup_id, commit, narrow, out)}
+        if policy.mark:
             added["sf_index"] = feature_index(bases, order="insert_seq").select("slot", "feature", "base_fp", F.col("base_order"))
-        if o.policy == "adaptive":
+        if policy.offline:
             added["pending"] = stored.filter("deferred and pair is not null").select(F.col("pair").alias("old_fp"), F.col("fp").alias("new_fp"), (F.lit(commit).cast("long") * (1 << 40) + F.col("batch")).alias("batch_seq"), F.col("seq").alias("pair_seq"))
         added["timings"] = self._timing("ingest", backup_id, began)
         self._commit(added)
@@ -130,38 +193,69 @@ class Store:
     def _coded(self, narrow: DataFrame, fresh: DataFrame) -> DataFrame:
         """fresh with base_fp and encoded (where a delta is to be tried), deferred and pair."""
         o = self.options
-        hits = choose_base(fresh.select("fp", "sf", "chunk_size"), index_owners(self.table("sf_index")), least_bytes=o.least_similar_bytes)
-        if o.plain_prefix:
-            hits = hits.filter(~F.col("fp").startswith(o.plain_prefix))
+        asked = may_be_delta(fresh, o.plain_prefix).select("fp", "sf", "chunk_size")
+        hits = choose_base(asked, index_owners(self.table("sf_index")), least_bytes=o.least_similar_bytes)
         where = self.table("chunks").select(F.col("fp").alias("base_fp"), F.col("container_id").alias("base_container"))
         hits = hits.join(where, "base_fp").select("fp", "base_fp", "base_container")
+        if o.own_bases:
+            hits = hits.unionByName(self._own_hits(fresh, hits))
         similar = keep(fresh.select("fp", "batch").join(hits, "fp"), "similar")
-        if o.policy == "container_affinity":
-            together = Window.partitionBy("batch", "base_container")
-            marked = similar.withColumn("use", F.count("*").over(together) > o.affinity_threshold).withColumn("late", F.lit(False))
-        elif o.policy == "inline":
-            marked = similar.withColumn("use", F.lit(True)).withColumn("late", F.lit(False))
-        else:
-            sizes = narrow.groupBy(F.floor(F.col("seq") / o.batch).alias("batch")).agg(F.count("*").alias("n"))
-            needs = similar.groupBy("batch").agg(F.count_distinct("base_container").alias("containers"))
-            poor = needs.join(sizes, "batch").select("batch", poor_locality(F.col("n"), F.col("containers"), o.locality_threshold).alias("late"))
-            marked = similar.join(poor, "batch").withColumn("use", ~F.col("late"))
-        marked = marked.select("fp", F.col("base_fp").alias("pair"), "use", "late")
+        sizes = narrow.groupBy(F.floor(F.col("seq") / o.batch).alias("batch")).agg(F.count("*").alias("n"))
+        marked = POLICIES[o.policy].mark(similar, sizes, o).select("fp", F.col("base_fp").alias("pair"), "use", "late")
         out = fresh.join(marked, "fp", "left").withColumn("deferred", F.coalesce("late", F.lit(False))).withColumn("base_fp", F.when(F.col("use"), F.col("pair")))
         wanted = out.filter("base_fp is not null").select("base_fp").distinct()
         plain = self.table("chunks").join(wanted.withColumnRenamed("base_fp", "fp"), "fp", "left_semi").select(F.col("fp").alias("base_fp"), unlz4(self._open(F.col("payload")), F.col("logical_len")).alias("base"))
+        if o.own_bases:
+            plain = plain.unionByName(fresh.select(F.col("fp").alias("base_fp"), F.col("chunk").alias("base")).join(wanted, "base_fp", "left_semi"))
         with_base = out.filter("base_fp is not null").join(plain, "base_fp").withColumn("encoded", delta(F.col("chunk"), F.col("base"))).drop("base", "use", "late")
         without = out.filter("base_fp is null").withColumn("encoded", F.lit(None).cast("binary")).drop("use", "late")
         return without.unionByName(with_base)
 
+    def _own_hits(self, fresh: DataFrame, hits: DataFrame) -> DataFrame:
+        """fp, base_fp, base_container of the chunks that are like one of an earlier batch of the backup.
+
+        A base is the first chunk that has some super-feature in a slot, if no earlier chunk, of the
+        store or of the backup, is like it, so that it is sure to become a base. Containers are not known yet; the
+        batch of the base stands for its container.
+        """
+        o = self.options
+        rows = fresh.filter(F.col("chunk_size") >= o.least_similar_bytes).join(hits.select("fp"), "fp", "left_anti")
+        index = feature_index(rows.withColumn("order", F.struct("batch", "seq")), order="order")
+        first = index.groupBy("slot", "feature").agg(F.min(F.struct("base_order", "base_fp")).alias("x")).select("slot", "feature", "x.*")
+        placed = index.withColumnsRenamed({"base_fp": "fp", "base_order": "mine"}).join(first, ["slot", "feature"])
+        earlier = F.col("base_order.batch") < F.col("mine.batch")
+        marked = keep(placed.groupBy("fp").agg(F.max(earlier).alias("like"), F.min(F.when(earlier, F.struct("slot", "base_fp", F.col("base_order.batch").alias("batch")))).alias("hit")), "own")
+        roots = marked.filter("not like").select(F.col("fp").alias("base_fp"))
+        found = may_be_delta(marked.filter("like"), o.plain_prefix).select("fp", "hit.base_fp", "hit.batch").join(roots, "base_fp", "left_semi")
+        return found.select("fp", "base_fp", F.concat(F.lit("own-"), F.col("batch").cast("string")).alias("base_container"))
+
     def _place(self, stored: DataFrame, order: str) -> DataFrame:
-        """Adds container_id and offset; containers of bases and of deltas are numbered on from the last."""
+        """Adds container_id and offset; containers of bases and of deltas are numbered on from the last.
+
+        Chunks of ``span`` batches go through one task and have an open container of their own.
+        """
+        o = self.options
         last = self.table("chunks").select(F.max(F.conv("container_id", 36, 10).cast("long"))).first()[0] or 0
-        packed = keep(pack_exactly(stored.select("backup_id", "is_delta", order, "fp", "stored_len"), (order,), streams=("backup_id", "is_delta"), capacity=self.options.container_bytes), "packed")
-        n_bases = packed.filter("not is_delta").select(F.max("container")).first()[0]
-        first_delta = last + 1 + (n_bases + 1 if n_bases is not None else 0)
-        number = F.col("container") + F.when(F.col("is_delta"), F.lit(first_delta)).otherwise(F.lit(last + 1))
-        return stored.join(packed.select("fp", container_name(number).alias("container_id"), "offset"), "fp")
+        rows = stored.select("backup_id", "is_delta", order, "fp", "stored_len", F.floor(F.col(order) % (1 << 40) / (o.batch * o.span)).alias("_span"))
+        packed = keep(pack_exactly(rows, (order,), streams=("backup_id", "is_delta", "_span"), capacity=o.container_bytes), "packed")
+        filled = packed.groupBy("is_delta", "_span").agg((F.max("container") + 1).alias("_n"))  # a row per span
+        before = Window.partitionBy(F.lit(0)).orderBy("is_delta", "_span").rowsBetween(Window.unboundedPreceding, -1)
+        filled = filled.withColumn("_first", F.lit(last + 1) + F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+        named = packed.join(filled, ["is_delta", "_span"]).select("fp", container_name(F.col("container") + F.col("_first")).alias("container_id"), "offset")
+        return stored.join(named, "fp")
+
+    def remember(self) -> None:
+        """Writes the sketch of all chunks of the recipes, so that a later session reads it (``sketch``) instead of
+        counting anew. What commits before the last remembered one added is taken over, not counted again."""
+        done = self.table("sketch").agg(F.max("commit")).first()[0] or 0
+        last = self.manifest["commit"]
+        news = self.table("metrics").filter(F.col("commit") > done).select("backup_id").distinct()
+        cells = sketch_counts(self.recipes().join(F.broadcast(news), "backup_id", "left_semi"))
+        self._commit({"sketch": cells.select(F.lit(last).alias("commit"), "sketch_row", "position", "cell")})
+
+    def sketch(self) -> DataFrame:
+        """The cells as remembered: sketch_row, position, cell."""
+        return self.table("sketch").groupBy("sketch_row", "position").agg(F.sum("cell").alias("cell"))
 
     def _measure(self, backup_id: str, commit: int, narrow: DataFrame, out: DataFrame) -> DataFrame:
         seen = narrow.agg(F.count("*").alias("logical_chunks"), F.coalesce(F.sum("chunk_size"), F.lit(0)).alias("logical_bytes"))
@@ -188,12 +282,12 @@ class Store:
 
     def restore(self, *backup_ids: str) -> DataFrame:
         """backup_id, seq, chunk of the backups, to be ordered by seq."""
-        recipe = self.table("recipes").filter(F.col("backup_id").isin(*backup_ids)) if backup_ids else self.table("recipes")
+        recipe = self.recipes(*backup_ids)
         return recipe.join(self.chunk_bytes(recipe), "fp").select("backup_id", "seq", "chunk")
 
     def orphans(self) -> DataFrame:
         """Recipe entries without a stored chunk: none in a sound store."""
-        return self.table("recipes").join(self.table("chunks").select("fp"), "fp", "left_anti")
+        return self.recipes().join(self.table("chunks").select("fp"), "fp", "left_anti")
 
     # offline pass
 
@@ -223,8 +317,7 @@ class Store:
         whole = coded.groupBy("old_fp", "rank").agg(F.min(fits).alias("fits"), F.sum(F.col("before") - F.col("size")).alias("saved")).filter("fits")
         total = chunks.agg(F.coalesce(F.sum("stored_len"), F.lit(0))).first()[0]
         if o.greedy_alpha:
-            earlier = Window.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-            whole = whole.withColumn("left", F.lit(total) - F.coalesce(F.sum("saved").over(earlier), F.lit(0))).filter(F.col("left") > F.lit(o.greedy_alpha * total))
+            whole = greedy_share(whole, total, o.greedy_alpha)
         done = keep(coded.join(whole.select("old_fp"), "old_fp", "left_semi"), "done")
         # C7: rewritten records go to new containers, in order of their place.
         fresh = chunks.drop("payload", "is_delta", "base_fp", "stored_len", "container_id", "offset").join(done.select("fp", F.col("new_fp").alias("base_fp"), "encoded", F.col("size").alias("stored_len")), "fp")
@@ -242,18 +335,15 @@ class Store:
         moved = kept.drop("container_id", "offset").join(places, "fp").select(*names)
         result = moved.unionByName(fresh.select(*names))
         # The index: all places of old and of new are cleared, then new's are set.
-        digests = small.select("fp", F.posexplode("sf").alias("slot", "feature"))
-        ends = pairs.select(F.col("old_fp").alias("fp")).unionByName(pairs.select(F.col("new_fp").alias("fp"))).distinct()
-        cleared = self.table("sf_index").join(digests.join(ends, "fp", "left_semi").select("slot", "feature").distinct(), ["slot", "feature"], "left_anti")
-        owners = digests.join(pairs.select(F.col("new_fp").alias("fp")).distinct(), "fp", "left_semi").join(small.select("fp", "insert_seq"), "fp")
-        index = cleared.unionByName(owners.select("slot", "feature", F.col("fp").alias("base_fp"), F.col("insert_seq").alias("base_order")))
+        digests = small.select("fp", "insert_seq", F.posexplode("sf").alias("slot", "feature"))
+        index = swap_owners(self.table("sf_index"), pairs, digests)
         released = pairs.select(F.col("new_fp").alias("fp")).distinct().withColumn("_free", F.lit(True))
         result = result.join(released, "fp", "left").withColumn("deferred", F.col("deferred") & F.col("_free").isNull()).select(*names)
-        result = keep(result, "result")
+        result_path, result = self._write("chunks", result)
         after = result.agg(F.sum("stored_len")).first()[0] or 0
         row = [(self.manifest["commit"] + 1, pairs.count(), done.filter("fp = old_fp").count(), done.filter("fp <> old_fp").count(), int(total), int(after))]
         log = self.spark.createDataFrame(row, SCHEMAS["passes"])
-        self._commit({"passes": log, "timings": self._timing("pass", None, began)}, {"chunks": result, "sf_index": index, "pending": self.spark.createDataFrame([], SCHEMAS["pending"])})
+        self._commit({"passes": log, "timings": self._timing("pass", None, began)}, {"chunks": result_path, "sf_index": index, "pending": self.spark.createDataFrame([], SCHEMAS["pending"])})
 
     def discard_pending(self) -> None:
         self._commit({}, {"pending": self.spark.createDataFrame([], SCHEMAS["pending"])})

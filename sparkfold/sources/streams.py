@@ -28,8 +28,20 @@ def text_stream(df: DataFrame, text: str = "text", stream: str = "source", order
 
 
 def numbered(chunks: DataFrame, stream: str, order: tuple) -> DataFrame:
-    """Adds ``place``, the number of a chunk in its stream, over rows of keys alone."""
-    narrow = chunks.select(stream, *order).withColumn("place", (F.row_number().over(Window.partitionBy(stream).orderBy(*order)) - 1).cast("long"))
+    """Adds ``place``, the number of a chunk in its stream, over rows of keys alone.
+
+    With several columns of order, chunks are numbered within each value of the first, and a stream's
+    window sees one row per such value.
+    """
+    narrow, (first, *rest) = chunks.select(stream, *order), order
+    if rest:
+        inside = Window.partitionBy(stream, first).orderBy(*rest)
+        earlier = Window.partitionBy(stream).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
+        shifts = narrow.groupBy(stream, first).agg(F.count("*").alias("_n")).select(F.col(stream).alias("_of"), F.col(first).alias("_at"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+        placed = narrow.withColumn("place", F.row_number().over(inside) - 1).join(shifts, F.col(stream).eqNullSafe(F.col("_of")) & F.col(first).eqNullSafe(F.col("_at")))
+        narrow = placed.select(stream, *order, (F.col("place") + F.col("_shift")).cast("long").alias("place"))
+    else:
+        narrow = narrow.withColumn("place", (F.row_number().over(Window.partitionBy(stream).orderBy(first)) - 1).cast("long"))
     return chunks.join(narrow, [stream, *order])
 
 
@@ -45,6 +57,17 @@ def trace(lines: DataFrame, kind: str = "fsl", value: str = "value") -> DataFram
     return rows.filter(F.col("prefix").rlike(f"^[0-9a-f]{{{2 * n}}}$") & F.col("size").isNotNull())
 
 
+def trace_line(fp: Column, size: Column, kind: str = "fsl") -> Column:
+    """The line of a trace that ``trace`` reads: the first bytes of a hex fingerprint apart by colons, a tab, the size."""
+    digits = [F.substring(fp, 2 * i + 1, 2) for i in range(PREFIX[kind])]
+    return F.concat(F.concat_ws(":", *digits), F.lit("\t"), F.least(size, F.lit(LARGEST)).cast("string"))
+
+
+def write_trace(chunks: DataFrame, path: str, order: tuple, kind: str = "fsl", fp: str = "fp", size: str = "chunk_size") -> None:
+    """Writes the chunks as trace files of ordered lines; files follow each other in the order."""
+    chunks.select(*order, trace_line(F.col(fp), F.col(size), kind).alias("value")).orderBy(*order).select("value").write.text(path)
+
+
 def compressible(size: int, ratio: float, seed: bytes) -> bytes:
     """Bytes that compress to about 1 / ratio: random literals between copies, with lengths by a power law."""
     random = np.random.default_rng(list(seed))
