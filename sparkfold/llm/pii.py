@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 from .spans import with_spans
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "secret", "ssn", "iban", "tel", "name")
+KINDS = (*BASE, "secret", "ssn", "iban", "tel", "name", "key", "jwt", "address", "person")
 LABELERS = ("shape", "gazetteer", "context", "beside")
 # Gazetteers and cue words of the labelers.
 DOMAINS = r"(?i)\.(com|org|net|edu|gov|mil|int|info|biz|io|eu|de|fr|es|it|uk|us|ca|nl|be|ch|at|se|no|pl|pt|br|mx|ar|cn|jp|in|ru|au)$"
 TITLES = r"Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora"
-FIRST_NAMES = r" (James|Mary|John|Anna|Robert|Linda|Michael|Sarah|David|Laura|Peter|Maria|Thomas|Julia|Hans|Petra|Pierre|Claire|Jean|Marie|José|Carmen|Juan|Lucía)\b"
+GIVEN = "James|Mary|John|Anna|Robert|Linda|Michael|Sarah|David|Laura|Peter|Maria|Thomas|Julia|Hans|Petra|Pierre|Claire|Jean|Marie|José|Carmen|Juan|Lucía"
+FIRST_NAMES = rf" ({GIVEN})\b"
+STREETS = "Street|Avenue|Road|Lane|Drive|Boulevard|Court|Square|Place|Terrace|Way|St|Ave|Rd|Blvd"
+KEY_MARKS = "sk_live_|sk_test_|pk_live_|sk-|ghp_|gho_|github_pat_|glpat-|xoxb-|xoxp-|AKIA|ASIA|AIza|hf_|npm_|SG\\."
 CUES = {
     "email": "mail|contact|write|kontakt|correo|courriel",
     "ip": r"\bip\b|host|server|address|adresse",
@@ -36,6 +39,10 @@ CUES = {
     "iban": "iban|account|konto|compte|cuenta",
     "tel": r"tel|phone|call|fax|mobile|\bfon\b",
     "name": "name|contact|signed|from|dear|nom|nombre",
+    "key": "token|key|secret|passw|auth|credential",
+    "jwt": "token|bearer|auth|cookie|session",
+    "address": r"address|adresse|lives?|office|street|postal|\bat\b",
+    "person": r"name|contact|signed|from|dear|author|\bby\b|nom|nombre",
 }
 # The first four are the base rules. Repeats that nothing follows are possessive, which changes no
 # match and keeps the matcher from recursing; a run is entered only at its start.
@@ -49,6 +56,10 @@ PATTERNS = {
     "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Z0-9])",
     "tel": r"(?<!\+[0-9]{1,3} )\([0-9]{3}\) [0-9]{3}-[0-9]{4}",
     "name": rf"(?<!\p{{L}})(?:{TITLES})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?",
+    "key": rf"(?<![0-9A-Za-z_-])(?:{KEY_MARKS})[0-9A-Za-z_-]{{12,200}}",
+    "jwt": r"(?<![0-9A-Za-z_-])eyJ[0-9A-Za-z_-]{4,4000}\.[0-9A-Za-z_-]{4,4000}\.[0-9A-Za-z_-]{4,4000}",
+    "address": rf"(?<![0-9])[0-9]{{1,5}}[A-Za-z]? (?:\p{{Lu}}\p{{L}}{{0,30}} ){{1,3}}(?:{STREETS})\b",
+    "person": rf"(?<!\p{{L}})(?<!(?:{TITLES})\.? )(?:{GIVEN}) \p{{Lu}}\p{{Ll}}{{1,30}}",
 }
 
 
@@ -98,6 +109,10 @@ def _votes(kind: str, x: Column) -> list[Column]:
         "iban": found.rlike("[0-9]{8}"),
         "tel": F.lit(True),
         "name": F.lit(True),
+        "key": mixed,
+        "jwt": F.length(found) >= 40,
+        "address": ~found.rlike("^0"),
+        "person": ~found.rlike(rf" (?:{GIVEN}|{STREETS})$"),
     }[kind]
     gazetteer = {
         "email": found.rlike(DOMAINS),
@@ -109,6 +124,10 @@ def _votes(kind: str, x: Column) -> list[Column]:
         "iban": found.rlike("^(AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)"),
         "tel": ~found.rlike(r"^\([01]"),
         "name": found.rlike(FIRST_NAMES),
+        "key": ~found.rlike(r"(?i)x{6}|example|your|0{6}|1234567"),
+        "jwt": found.startswith("eyJhbGciOi") | found.startswith("eyJ0eXAiOi"),
+        "address": ~found.rlike("(?i) (wall|sesame|main) street$"),
+        "person": F.lit(None).cast("boolean"),
     }[kind]
     return [_vote(shape, ~shape), _vote(gazetteer, ~gazetteer), _vote(x["before"].rlike(f"(?i){CUES[kind]}")), _vote(apart, ~apart)]
 
@@ -117,7 +136,7 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``spans``: every candidate by kind as listed, then start, with its votes."""
     docs = docs.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
     docs = docs.withColumn("_digit", F.col("_text").rlike("[0-9]"))
-    may = {"email": F.col("_text").contains("@"), "phone": F.col("_digit") & F.col("_text").contains("+"), "name": F.lit(True)}
+    may = {"email": F.col("_text").contains("@"), "phone": F.col("_digit") & F.col("_text").contains("+"), "name": F.lit(True), "jwt": F.col("_text").contains("eyJ"), "key": F.lit(True), "person": F.lit(True)}
     docs = with_spans(docs, "_text", {f"_{k}": (PATTERNS[k], may.get(k, F.col("_digit"))) for k in KINDS})
 
     def of(number: int, kind: str) -> Column:
@@ -200,7 +219,7 @@ def find_pii(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> Dat
     Two passes over the texts: one counts vote patterns, one keeps base spans and the candidates that
     the classifier scores at least ``threshold``. Offsets are code points, end exclusive. A null or
     empty text has no spans; other columns, null or not, pass through; repeated rows are found each;
-    an empty table stays empty. Spans of different kinds may overlap; ties of start within a kind
+    texts of any length are searched whole; an empty table stays empty. Spans of different kinds may overlap; ties of start within a kind
     can't occur.
     """
     marked = candidates(docs, text)
