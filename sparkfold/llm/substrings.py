@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 from .common import materialize, ship_code, tidied
 from .words import P1, mix, powers
 
-GRAM, SUBS, MOST = 12, 32, 64
+GRAM, SUBS, MOST = 10, 32, 64
 NO_ID = np.iinfo(np.int64).max
 #: Bytes of text per bucket and per bundle, and of a piece that is parsed at once; buckets at least.
-BUCKET_BYTES, BUNDLE_BYTES, PIECE_BYTES, LEAST_BUCKETS = 32 << 20, 16 << 20, 1 << 20, 64
+BUCKET_BYTES, BUNDLE_BYTES, PIECE_BYTES, LEAST_BUCKETS = 16 << 20, 16 << 20, 1 << 20, 8
 #: Buckets that a blob is dealt to at once.
 FAN = 4096
-LEVEL = 4
+LEVEL = 6
+#: Windows whose least doc_ids are met with the parse at once.
+WINDOWS_AT_ONCE = 1 << 20
 _CODEC: dict[int, pa.Codec] = {}
 
 
@@ -269,20 +271,29 @@ def removed(ids: np.ndarray, ends: np.ndarray, data: np.ndarray, found: list[lis
     begin = np.full(len(first), -1, np.int64)
     begin[numbers] = np.cumsum(counts) - counts
     some = np.flatnonzero(begin[which] >= 0)
-    start, windows, begin = start[some], windows[some], begin[which[some]]
+    parts, upto = [(none, none, none)], np.cumsum(windows[some])
+    edges = np.searchsorted(upto, np.arange(0, upto[-1] if len(some) else 0, WINDOWS_AT_ONCE)).tolist()
+    for a, z in zip(edges, [*edges[1:], len(some)], strict=True):
+        part = some[a:z]
+        parts.append(_gone(start[part], windows[part], gather(least, begin[which[part]], windows[part]), ids, ends, width))
+    text, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(text):
+        return none, none, none
+    reach = np.maximum.accumulate(end)
+    fresh = np.append(True, (start[1:] > reach[:-1]) | (text[1:] != text[:-1]))
+    return text[fresh], start[fresh], reach[np.append(np.flatnonzero(fresh)[1:] - 1, len(text) - 1)]
+
+
+def _gone(start: np.ndarray, windows: np.ndarray, least: np.ndarray, ids: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of the runs of windows, of phrases at start, that a smaller doc_id has too."""
     text = np.searchsorted(ends, start, side="right")
-    row = np.repeat(np.arange(len(some)), windows)
-    gone = gather(least, begin, windows) < ids[text][row]
+    row = np.repeat(np.arange(len(start)), windows)
+    gone = least < ids[text][row]
     at = np.arange(len(row)) + (start - (np.cumsum(windows) - windows))[row]
     cut = np.append(True, row[1:] != row[:-1])
     lo = np.flatnonzero(gone & (cut | np.append(True, ~gone[:-1])))
     hi = np.flatnonzero(gone & np.append(cut[1:] | ~gone[1:], True))
-    text, start, end = text[row[lo]], at[lo], at[hi] + width
-    if not len(lo):
-        return none, none, none
-    reach = np.maximum.accumulate(end)
-    fresh = np.append(True, (start[1:] > reach[:-1]) | (text[1:] != text[:-1]))
-    return text[fresh], start[fresh], reach[np.append(np.flatnonzero(fresh)[1:] - 1, len(lo) - 1)]
+    return text[row[lo]], at[lo], at[hi] + width
 
 
 def _cleaned(ids: np.ndarray, null: np.ndarray, ends: np.ndarray, data: np.ndarray, spans: tuple) -> pa.Table:
@@ -299,13 +310,21 @@ def _cleaned(ids: np.ndarray, null: np.ndarray, ends: np.ndarray, data: np.ndarr
     return pa.table([pa.array(ids, mask=null.astype(bool)), pa.array(ends - begin), blobs.cast(pa.binary()), *lists], names=["doc_id", "n_bytes", "kept", "starts", "ends"])
 
 
+def _rereadable(docs: DataFrame) -> bool:
+    """Whether docs are files and nothing but projections and filters, so that rows come in the same order again
+    when a lost bundle is read anew; others are written first."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    nodes = {line.lstrip(" +-:").split(" ")[0] for line in plan.toString().splitlines()}
+    return plan.deterministic() and nodes <= {"Project", "Filter", "Relation"}
+
+
 def _offsets(texts: pa.Array) -> np.ndarray:
     kind = np.int64 if pa.types.is_large_binary(texts.type) else np.int32
     return np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
 
 
 def _bundles(docs: DataFrame) -> DataFrame:
-    """bundle, bytes, blob: doc_ids (null: the largest), which are null, ends of the texts, and the texts."""
+    """bundle, blob: doc_ids (null: the largest), which are null, ends of the texts, and the texts."""
 
     def run(batches):
         number, parts, size = TaskContext.get().partitionId() << 32, [], 0
@@ -318,21 +337,21 @@ def _bundles(docs: DataFrame) -> DataFrame:
                 size += int(ends[upto] - ends[at])
                 at = upto
                 if size >= BUNDLE_BYTES:
-                    yield _bundle(number, size, parts)
+                    yield _bundle(number, parts)
                     number, parts, size = number + 1, [], 0
         if parts:
-            yield _bundle(number, size, parts)
+            yield _bundle(number, parts)
 
-    return docs.mapInArrow(run, "bundle long, bytes long, blob binary")
+    return docs.mapInArrow(run, "bundle long, blob binary")
 
 
-def _bundle(number: int, size: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+def _bundle(number: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     ids, texts = (pa.concat_arrays([p.column(i) for p in parts]) for i in (0, 1))
     ends = _offsets(texts)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
     null = ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
     blob = pack_arrays(ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64), null, ends[1:] - ends[0], data)
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([blob], pa.binary())], ["bundle", "bytes", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([blob], pa.binary())], ["bundle", "blob"])
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", width: int = 50, fan: int = FAN) -> DataFrame:
@@ -346,9 +365,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = 50, fan: in
     """
     ship_code(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
-    bundles = materialize(_bundles(docs))
-    size = bundles.agg(F.sum("bytes")).first()[0] or 0
-    bundles = bundles.drop("bytes")
+    docs = docs if _rereadable(docs) else materialize(docs)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bundles = _bundles(docs).repartition("bundle")  # one shuffle, which the parse and the last step both read
     *levels, buckets = fans(max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)), fan)
     entry = "bucket long, bundle long, blob binary"
     first = levels[0] if levels else buckets
