@@ -34,7 +34,10 @@ def _unfolded(docs: DataFrame, columns: list[str], named: tuple = ("doc_id", "te
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores at least QUALITY; it is fitted on this table's labels."""
+    """Documents that the quality classifier scores at least QUALITY; it is fitted on this table's labels.
+
+    A null or empty text scores by the bias alone and goes or stays by that; long texts count whole; repeated
+    rows, ties and rows without a doc_id are judged each by their text; an empty table gives no rows."""
     weights = fit(docs, table(spark, sf_dir, "labels"))
     scored = score(_folded(docs), weights).filter(F.col("score") >= QUALITY)
     return scored.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_rest")[c].alias(c) for c in docs.columns])
@@ -58,12 +61,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by the name of its kind."""
+    """All documents, personal data replaced by the name of its kind. Null and empty texts stay as they are,
+    texts of any length are searched whole, repeated rows are redacted alike, an empty table stays empty."""
     return _unfolded(redact(find_pii(_folded(docs))), docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document as often as it is taken whole, and its first words where it is taken in part."""
+    """The mix: a document as often as it is taken whole, and its beginning up to the last taken word where it
+    is taken in part. A null or empty text has no words and is never taken; a null source is a source of
+    its own; rows equal in doc_id and text are taken together; an empty table gives no rows."""
     key = F.xxhash64("text").alias("_key")
     taken = mix(docs.select("doc_id", "source", "text", key), keep=("_key",)).filter("taken > 0").groupBy("doc_id", "_key").agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size"), F.count("*").alias("_rows"))
     taken = materialize(taken).withColumnsRenamed({"doc_id": "_id", "_key": "_k"})
@@ -73,13 +79,16 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     joined = keyed.join(taken, (keyed["_key"] == taken["_k"]) & keyed["doc_id"].eqNullSafe(taken["_id"]))
     turns = joined.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))))
     rest = F.col("_taken") - (F.col("_turn") - 1) * F.col("_size")
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORDS), 0), F.lit(1), rest.cast("int")), " ")
+    words, apart = F.regexp_extract_all("text", F.lit(WORDS), 0), F.split("text", WORDS, -1)
+    taken_words = F.zip_with(F.slice(apart, F.lit(1), rest.cast("int")), F.slice(words, F.lit(1), rest.cast("int")), F.concat)
+    first = F.array_join(taken_words, "")
     cut = turns.withColumn("text", F.when(rest >= F.col("_size"), F.col("text")).otherwise(first))
     return _unfolded(cut, docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces with their token ids; see the packing operator."""
+    """The packed pieces with their token ids; see the packing operator for null, empty and long texts,
+    repeated rows and ties. An empty table gives no rows."""
     return pack(docs, default_tokenizer(), capacity=4096, end_id=2)
 
 
