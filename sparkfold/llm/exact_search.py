@@ -8,6 +8,9 @@ kth score of Q's queries so far. Vectors are integers; sums below 2**53 are exac
 
 from __future__ import annotations
 
+import heapq
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -134,14 +137,28 @@ def _exact(v: np.ndarray, w: np.ndarray) -> bool:
     return top * top * v.shape[1] < 2.0**53
 
 
+def _by_integers(data: np.ndarray, asked: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, scale: int, names: list[str]) -> pa.Table:
+    """The k best per query by products of Python's integers, a query at a time."""
+    whole = lambda v: [math.floor(scale * x) if abs(x) < 2.0**60 else scale * int(x) for x in v]
+    rows = np.array([whole(v) for v in data.tolist()], object)
+    out: tuple[list, list, list] = ([], [], [])
+    for name, q in zip(own.tolist(), asked.tolist(), strict=True):
+        scores = rows @ np.array(whole(q), object)
+        for s, i in heapq.nsmallest(k, ((-s, i) for s, i in zip(scores.tolist(), ids.tolist(), strict=True) if i != name)):
+            for column, value in zip(out, (name, i, max(-(1 << 63), min((1 << 63) - 1, -s))), strict=True):
+                column.append(value)
+    return pa.table([pa.array(c, pa.int64()) for c in out], names=names)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest inner product of floor(scale * x), ties to the smaller vec_id.
 
     vectors and queries have vec_id and embedding; rows of the query's vec_id are no candidates. Only
     vectors of the query's length are compared. Null or empty vectors, those with a null or non-finite
     component, and null vec_ids take no part. Repeated rows are candidates each, and a query given several
-    times is answered once. Components beyond double precision's exact sums are multiplied as 64-bit integers
-    without pruning. Empty tables give no rows.
+    times is answered once. Where sums may exceed what double precision holds exactly, integers of any size
+    are multiplied without pruning, and a score beyond a long is given as the nearest long. Empty tables
+    give no rows.
     """
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -149,13 +166,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256)
         if not len(left) or not len(right):
             return pa.table([pa.array([], pa.int64())] * 3, names=names)
         ids, own = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-        data, asked = (np.floor(scale * matrix(t.column("vec"))) for t in (left, right))
+        with np.errstate(over="ignore"):
+            data, asked = (np.floor(scale * matrix(t.column("vec"))) for t in (left, right))
         tree = DualTree(data, ids, asked, own, k)
-        if _exact(data, asked):
-            tree.run()
-        else:
-            tree.data, tree.queries = data.astype(np.int64), asked.astype(np.int64)
-            tree._compare(np.arange(len(own)), np.arange(len(ids)))
+        if not _exact(data, asked):
+            return _by_integers(*(matrix(t.column("vec")) for t in (left, right)), ids, own, k, scale, names)
+        tree.run()
         at, rank = np.nonzero(np.isfinite(tree.scores))
         return pa.table([pa.array(own[at]), pa.array(tree.found[at, rank]), pa.array(tree.scores[at, rank].astype(np.int64))], names=names)
 

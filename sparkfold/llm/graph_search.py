@@ -137,14 +137,20 @@ def _front(lists: np.ndarray) -> np.ndarray:
 
 def unit(v: np.ndarray) -> np.ndarray:
     """Rows of length 1; scaled by their largest component first, so that no square overflows."""
-    v = v / np.maximum(np.abs(v).max(axis=1, keepdims=True), np.finfo(np.float64).tiny)
+    v = scaled(v)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near 1: directions and digits stay, and
+    no square is out of range."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=-1, keepdims=True))[1])
+
+
 def cosines(v: np.ndarray, y: np.ndarray) -> np.ndarray:
-    with np.errstate(all="ignore"):
-        out = (v * y).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((y * y).sum()))
-    return out if np.isfinite(out).all() else (unit(v) * unit(y[None, :])).sum(axis=1)  # squares out of range
+    """Cosines of the rows of v with y, in double precision; scaling by powers of two changes no digit."""
+    v, y = scaled(v), scaled(y)
+    return (v * y).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((y * y).sum()))
 
 
 def index(rows: DataFrame, k: int) -> DataFrame:

@@ -126,3 +126,12 @@ def test_large_components_use_integers(spark):
     df = spark.createDataFrame([(0, [1e7, 1.0]), (1, [1e7, 3.0]), (2, [-1e7, 0.0])], "vec_id long, embedding array<double>")
     got = [(r.rank, r.vec_id, r.score) for r in top_k(df, df.filter("vec_id = 0")).orderBy("rank").collect()]
     assert got == [(1, 1, 2560000000**2 + 256 * 768), (2, 2, -(2560000000**2))]
+
+
+def test_components_of_any_magnitude(spark):
+    rows = [(0, [1e308, -1.0]), (1, [1e308, 5.0]), (2, [1e-308, 0.0]), (3, [-1e300, 1.0]), (4, [3e200, 4e200]), (5, [3e-200, 4e-200]), (6, [5e-324, 5e-324])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.score for r in top_k(df, df.filter("vec_id = 0"), k=9).collect()}
+    assert got[1] == got[4] == (1 << 63) - 1 and got[3] == -(1 << 63) and got[2] == 0 and len(got) == 6
+    found = {(r.query_id, r.vec_id): r.score for r in nearest(df, df, k=6).collect()}
+    assert found[4, 5] == found[5, 4] == pytest.approx(1.0, abs=1e-15) and found[0, 4] == pytest.approx(0.6) and found[6, 2] == pytest.approx(0.5**0.5)
