@@ -2,7 +2,7 @@ import itertools
 import math
 import time
 
-from sparkfold.llm.html_text import Chain, default_chain, extract, features, labelled, labelled_pages, leaf_blocks, main_text_of
+from sparkfold.llm.html_text import ASIDE, Chain, default_chain, extract, features, labelled, labelled_pages, leaf_blocks, main_text_of
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body>
 <nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><!-- <p>ad</p> --><div class="ad">Buy this now.</div>
@@ -80,3 +80,12 @@ def test_unclosed_elements_make_no_page_slow():
     began = time.time()
     leaf_blocks("<p><div>" + "<span>" * 100_000 + "<h2>x</h2></em>" * 20_000)
     assert time.time() - began < 20
+
+
+def test_the_pages_table_agrees_with_its_own_structure(spark):
+    """Pages of the table mark their article; what lies in it, and in no part beside it, is the main text."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    found = {r.page_id: r.text for r in extract(pages).collect()}
+    for r in pages.collect():
+        inside = [t for t, (path, _), _ in leaf_blocks(r.html or "") if "in:article" in path and not ASIDE.intersection(path)]
+        assert found[r.page_id] == "\n".join(inside)
