@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .spans import with_spans
 
 BASE = ("email", "ip", "card", "phone")
@@ -136,7 +138,11 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``spans``: every candidate by kind as listed, then start, with its votes."""
     docs = docs.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
     docs = docs.withColumn("_digit", F.col("_text").rlike("[0-9]"))
-    may = {"email": F.col("_text").contains("@"), "phone": F.col("_digit") & F.col("_text").contains("+"), "name": F.lit(True), "jwt": F.col("_text").contains("eyJ"), "key": F.lit(True), "person": F.lit(True)}
+    holds = lambda *words: reduce(Column.__or__, [F.col("_text").contains(w) for w in words])
+    may = {
+        "email": holds("@"), "phone": F.col("_digit") & holds("+"), "jwt": holds("eyJ"), "key": holds(*KEY_MARKS.replace("\\.", ".").split("|")),
+        "name": holds(*TITLES.split("|")), "person": holds(*[f"{x} " for x in GIVEN.split("|")]), "address": F.col("_digit") & holds(*[f" {x}" for x in STREETS.split("|")]),
+    }
     docs = with_spans(docs, "_text", {f"_{k}": (PATTERNS[k], may.get(k, F.col("_digit"))) for k in KINDS})
 
     def of(number: int, kind: str) -> Column:
@@ -213,16 +219,18 @@ def _score(x: Column, weights: dict) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def find_pii(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
+def find_pii(docs: DataFrame, text: str = "text", threshold: float = 0.5, with_text: bool = True) -> DataFrame:
     """docs with ``spans``: array of (kind, start, end, base, score), by kind as listed, then start.
 
-    Two passes over the texts: one counts vote patterns, one keeps base spans and the candidates that
-    the classifier scores at least ``threshold``. Offsets are code points, end exclusive. A null or
+    One pass over the texts writes the candidates with their votes beside the rows of docs (without the text if
+    ``with_text`` is false). Vote patterns are counted in these; base spans stay, and of the others those
+    that the classifier scores at least ``threshold``. Offsets are code points, end exclusive. A null or
     empty text has no spans; other columns, null or not, pass through; repeated rows are found each;
     texts of any length are searched whole; an empty table stays empty. Spans of different kinds may overlap; ties of start within a kind
     can't occur.
     """
     marked = candidates(docs, text)
+    marked = materialize(marked if with_text else marked.drop(text))
     weights = fit(vote_counts(marked))
     base = lambda x: x["kind"].isin(*BASE)
     scored = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), base(x).alias("base"), _score(x, weights).alias("score")))

@@ -97,7 +97,7 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return digests(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False))
 
 
 QUERIES = {"op1_packing": op1_packing, "op2_near_dedup": op2_near_dedup, "op3_licenses": op3_licenses, "op4_repeats": op4_repeats, "op5_neighbours": op5_neighbours, "op6_html_text": op6_html_text, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_top_k": op9_top_k, "op10_pii": op10_pii}
