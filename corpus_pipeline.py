@@ -80,7 +80,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     turns = joined.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))))
     rest = F.col("_taken") - (F.col("_turn") - 1) * F.col("_size")
     words, apart = F.regexp_extract_all("text", F.lit(WORDS), 0), F.split("text", WORDS, -1)
-    taken_words = F.zip_with(F.slice(apart, F.lit(1), rest.cast("int")), F.slice(words, F.lit(1), rest.cast("int")), F.concat)
+    taken_words = F.zip_with(F.slice(apart, F.lit(1), rest.cast("int")), F.slice(words, F.lit(1), rest.cast("int")), lambda a, w: F.concat(a, w))
     first = F.array_join(taken_words, "")
     cut = turns.withColumn("text", F.when(rest >= F.col("_size"), F.col("text")).otherwise(first))
     return _unfolded(cut, docs.columns)
