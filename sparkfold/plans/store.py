@@ -15,6 +15,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -125,10 +126,11 @@ class Store:
     def _commit(self, added: dict[str, DataFrame | str], replaced: dict[str, DataFrame | str] | None = None) -> None:
         """A new version with what is added, or stands in for a whole table: rows, or the path of a written folder."""
         tables = {k: list(v) for k, v in self.manifest["tables"].items()}
-        for whole, changes in ((False, added), (True, replaced or {})):
-            for name, rows in changes.items():
-                path = rows if isinstance(rows, str) else self._write(name, rows)[0]
-                tables[name] = [path] if whole else [*tables.get(name, []), path]
+        changes = [(name, rows, False) for name, rows in added.items()] + [(name, rows, True) for name, rows in (replaced or {}).items()]
+        with ThreadPoolExecutor(len(changes)) as pool:  # small jobs, side by side
+            paths = list(pool.map(lambda x: x[1] if isinstance(x[1], str) else self._write(x[0], x[1])[0], changes))
+        for (name, _, whole), path in zip(changes, paths, strict=True):
+            tables[name] = [path] if whole else [*tables.get(name, []), path]
         self.manifest = {"commit": self.manifest["commit"] + 1, "tables": tables}
         write_text(self.spark, f"{self.path}/MANIFEST", json.dumps(self.manifest))
 
