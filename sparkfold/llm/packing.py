@@ -33,7 +33,7 @@ CACHES.append(_CODERS)
 
 
 #: A block leaves one token in SLACK of its capacity free; windows that an exchange looks at for room.
-SLACK, LOWEST = 64, 64
+SLACK, LOWEST = 100, 64
 #: ASCII punctuation without the apostrophe, which can begin a pre-token of its own kind.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -185,9 +185,9 @@ def exchange(windows: list[list[int]], sizes: list[int], capacity: int, steps: i
 
 
 def windows_of(sizes: list[int], capacity: int, partition: Callable[[list[int], int], list[list[int]]] = differencing) -> list[list[int]]:
-    """Whole items (none above capacity) in windows, in as few as the partition needs: their number rises
-    as long as capacity is exceeded."""
-    k = max(1, -(-sum(sizes) // capacity))
+    """Whole items (none above capacity) in windows. Their number leaves one token in SLACK of the capacity
+    free at first, and rises as long as capacity is exceeded."""
+    k = max(1, -(-sum(sizes) // (capacity - capacity // SLACK)))
     while True:
         windows = partition(sizes, k)
         if max(exchange(windows, sizes, capacity, 4 * k), default=0) <= capacity:
@@ -199,7 +199,7 @@ class _Packer:
     """Packs the documents of one partition, in order."""
 
     def __init__(self, capacity: int, block_windows: int, part: int):
-        self.capacity, self.target = capacity, block_windows * max(1, capacity - max(1, capacity // SLACK))
+        self.capacity, self.target = capacity, block_windows * (capacity - capacity // SLACK)
         self.next_id, self.pending, self.held = part << 32, [], 0
 
     def add(self, doc_id, ids: np.ndarray) -> Iterator[tuple]:
@@ -244,7 +244,7 @@ def pack(
     tokenizer: str,
     capacity: int = 4096,
     end_id: int = 2,
-    block_windows: int = 128,
+    block_windows: int = 64,
     rows_per_batch: int = 4096,
     coder: Callable[[str], ChunkCoder] = tokenizer_coder,
 ) -> DataFrame:
