@@ -56,7 +56,7 @@ def pack_exactly(chunks: DataFrame, order: tuple, size: str = "stored_len", stre
                 while done < end - at:  # as many as leave the open container below capacity; one at least in a new one
                     before = upto[done - 1] if done else 0
                     stop = int(np.searchsorted(upto, before + capacity - used))
-                    if stop == done and used:
+                    if stop <= done and used:
                         used, container = 0, container + 1
                         continue
                     stop = max(stop, done + 1)

@@ -162,9 +162,9 @@ class Store:
         else:
             coded = self._coded(narrow, keep(fresh.join(payloads, "seq").withColumn("sf", super_feature(F.col("chunk"))), "features"))
         is_delta = F.col("base_fp").isNotNull() & (F.length("encoded") < F.col("chunk_size"))
-        coded = coded.withColumn("is_delta", is_delta).withColumn("stored", F.when(is_delta, F.col("encoded")).otherwise(F.lit(None)))
-        base = coded.filter(~F.col("is_delta")).withColumn("stored", lz4(F.col("chunk")))
-        stored = keep(base.unionByName(coded.filter("is_delta")).drop("chunk", "encoded").withColumn("stored_len", F.length("stored").cast("long")), "stored")
+        # One pass: compression is cheap beside a second run of the delta coder over a second branch.
+        coded = coded.withColumn("is_delta", is_delta).withColumn("stored", F.when(F.col("is_delta"), F.col("encoded")).otherwise(lz4(F.col("chunk"))))
+        stored = keep(coded.drop("chunk", "encoded").withColumn("stored_len", F.length("stored").cast("long")), "stored")
         placed = self._place(stored.withColumn("backup_id", F.lit(backup_id)), "seq")
         out = placed.select(
             "fp", "is_delta", F.when(F.col("is_delta"), F.col("base_fp")).alias("base_fp"), "container_id", "offset", "stored_len", F.col("chunk_size").alias("logical_len"), "sf", "deferred",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sparkfold.operators import containers, dedup, metrics, similarity
 from sparkfold.plans.catalog import QUERIES
-from sparkfold.sources.streams import compressible, files, mutated, numbered, trace
+from sparkfold.sources.streams import compressible, files, mutated, numbered, trace, write_trace
 
 
 def chunk_rows(spark, n=400, kinds=60):
@@ -133,3 +133,43 @@ def test_byte_sums_of_texts_of_any_length(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "src0") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.bytes_total for r in QUERIES["byte_sums_of_documents"](spark, str(tmp_path)).collect()}
     assert got == {i: sum(t.encode()) % 2**32 for i, t in enumerate(texts)}
+
+
+def test_exact_packing_equals_a_writer_in_batches_of_any_size(spark):
+    r = random.Random(6)
+    rows = [(f"s{r.randrange(3)}", i, r.choice([1, 50, 400, 3000])) for i in range(900)]
+    df = spark.createDataFrame(rows, "backup_id string, seq long, stored_len long")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch, record in ((7, containers.RECORD), (1000, containers.PLAIN_RECORD)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            got = {(x.backup_id, x.seq): (x.container, x.offset) for x in containers.pack_exactly(df, ("seq",), capacity=2048, record=record).collect()}
+            state, want = {}, {}
+            for s, i, n in rows:
+                number, used = state.get(s, (0, 0))
+                if used and used + n + record >= 2048:
+                    number, used = number + 1, 0
+                want[s, i] = number, used
+                state[s] = number, used + n + record
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_written_traces_are_read_back(spark, tmp_path):
+    _, df = chunk_rows(spark)
+    write_trace(df, f"file://{tmp_path}/trace", ("seq",))
+    lines = spark.read.text(f"file://{tmp_path}/trace")
+    got = sorted((x.prefix, x.size) for x in trace(lines).collect())
+    assert got == sorted((x.fp[:12], x.chunk_size) for x in df.collect())
+
+
+def test_byte_counts_and_running_estimates(spark):
+    df = spark.createDataFrame([("a", bytearray(b"aab")), ("a", None), (None, bytearray(b"b")), ("b", bytearray(b""))], "k string, p binary")
+    assert sorted(((x.k or "", x.byte, x.n) for x in metrics.byte_counts(df, "p", ("k",)).collect())) == [("", 98, 1), ("a", 97, 2), ("a", 98, 1)]
+    rows, chunks = chunk_rows(spark, 60, 10)
+    got = {x.seq: x.estimate for x in dedup.running_estimates(chunks, ("seq",)).collect()}
+    seen = Counter()
+    for _, i, fp, _ in rows:
+        seen[fp] += 1
+        assert got[i] >= seen[fp]

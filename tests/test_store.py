@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkfold.plans.store import POLICIES, Options, Store
+from sparkfold.plans.store import POLICIES, Options, Policy, Store, register_policy
 from sparkfold.streaming.ingest import ingest_stream, run_to_end, unique_chunks
 
 
@@ -35,7 +35,7 @@ def restored(store):
 WANT = {(f"v{k}", i): d for k, docs in enumerate(versions()) for i, d in enumerate(docs)}
 
 
-@pytest.mark.parametrize("policy", POLICIES)
+@pytest.mark.parametrize("policy", tuple(POLICIES))
 def test_policies_restore_and_account(spark, tmp_path, policy):
     options = Options(policy=policy, container_bytes=16384, key=b"0123456789abcdef" if policy == "inline" else None, affinity_threshold=1)
     store = ingest_all(spark, f"file://{tmp_path}/store", options)
@@ -104,3 +104,43 @@ def test_streams(spark, tmp_path):
     assert sorted(bytes(r.chunk) for r in store.restore().collect()) == sorted(bytes(c) for _, c in rows)
     marked = stream.withColumn("fp", F.sha2("chunk", 256)).withColumn("chunk_size", F.length("chunk"))
     assert run_to_end(unique_chunks(marked), f"{tmp_path}/out", f"{tmp_path}/offsets2").count() == 7
+
+
+def test_chunks_of_a_first_backup_have_bases_in_its_earlier_batches(spark, tmp_path):
+    r = random.Random(4)
+    first = [r.randbytes(3000) for _ in range(4)]
+    docs = [*first, first[0][:2900] + b"x" * 100, *[r.randbytes(500) for _ in range(3)], b"y" * 50 + first[1][50:], first[0][:2900] + b"z" * 100]
+    rows = spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(docs)], "seq long, chunk binary")
+    for own in (True, False):
+        store = Store(spark, f"file://{tmp_path}/own-{own}", Options(policy="inline", batch=4, own_bases=own))
+        store.ingest("one", rows)
+        assert {(x.backup_id, x.seq): bytes(x.chunk) for x in store.restore().collect()} == {("one", i): d for i, d in enumerate(docs)}
+        fps = {x.fp: x.seq for x in store.recipes().collect()}
+        bases = {fps[x.fp]: fps[x.base_fp] for x in store.table("chunks").filter("is_delta").collect()}
+        assert bases == ({4: 0, 8: 1, 9: 0} if own else {})
+
+
+def test_a_registered_policy_is_used(spark, tmp_path):
+    register_policy("first_batch_only", Policy(lambda similar, sizes, options: similar.withColumns({"use": F.col("batch") == 0, "late": F.lit(False)})))
+    try:
+        store = ingest_all(spark, f"file://{tmp_path}/store", Options(policy="first_batch_only", batch=8))
+        assert restored(store) == WANT
+        deltas = store.table("chunks").filter("is_delta").join(store.recipes().groupBy("fp").agg(F.min("seq").alias("seq")), "fp")
+        assert 0 < deltas.count() == deltas.filter("seq < 8").count()
+    finally:
+        POLICIES.pop("first_batch_only")
+    with pytest.raises(ValueError):
+        Store(spark, f"file://{tmp_path}/other", Options(policy="first_batch_only"))
+
+
+def test_the_sketch_is_remembered(spark, tmp_path):
+    from sparkfold.operators.dedup import sketch_counts
+
+    path = f"file://{tmp_path}/store"
+    store = Store(spark, path, Options(policy="dedup_only", key=b"0123456789abcdef"))
+    for k, docs in enumerate(versions(2)):
+        store.ingest(f"v{k}", spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(docs)], "seq long, chunk binary"))
+        store.remember()
+    rows = lambda df: {(x.sketch_row, x.position): x.cell for x in df.collect()}
+    assert rows(Store(spark, path, store.options).sketch()) == rows(sketch_counts(store.recipes())) != {}
+    assert store.table("recipes").join(store.table("chunks"), "fp").count() == 0  # stored encrypted
