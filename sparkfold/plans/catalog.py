@@ -457,12 +457,12 @@ def superfeatures_of_exact_copies(spark, sf_dir):
 
 
 def _similar(spark, sf_dir):
-    """Chunks of the documents of other sources with the bases that those of src0 give them."""
-    rows = streams(spark, sf_dir).filter(F.length("payload") > 564)
+    """All documents as chunks, and the base that the earliest like one is to each; short ones, which all look alike, get none."""
+    rows = streams(spark, sf_dir)
     rows = keep(rows.select("source", "doc_id", fingerprint(F.col("payload")).alias("fp"), F.length("payload").alias("chunk_size"), super_feature(F.col("payload")).alias("sf"), "payload"), "similar")
-    bases = rows.filter("source = 'src0'").withColumn("insert_seq", F.col("doc_id"))
-    asked = rows.filter("source <> 'src0'").dropDuplicates(["fp"])
-    return rows, similarity.choose_base(asked, similarity.index_owners(similarity.feature_index(bases)))
+    bases = rows.filter("chunk_size > 564").withColumn("insert_seq", F.col("doc_id"))
+    asked = rows.select("fp", "sf", "chunk_size").dropDuplicates(["fp"])
+    return rows, similarity.choose_base(asked, similarity.index_owners(similarity.feature_index(bases)), least_bytes=565)
 
 
 @query()

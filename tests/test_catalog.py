@@ -1,9 +1,11 @@
+import hashlib
 import os
 
 import duckdb
 import pytest
 
 import __spark_entry__
+from sparkfold.functions.superfeatures import super_features
 from sparkfold.plans.catalog import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -25,3 +27,19 @@ def test_query_equals_its_sql(spark, tmp_path, name):
     columns = ", ".join(f'"{r[0]}"' for r in sorted(db.execute("DESCRIBE want").fetchall()))
     for a, b in (("want", "got"), ("got", "want")):
         assert db.execute(f"SELECT {columns} FROM {a} EXCEPT ALL SELECT {columns} FROM {b}").fetchall() == []
+
+
+def test_bases_of_documents_equal_brute_force(spark):
+    rows = duckdb.sql(f"SELECT doc_id, encode(coalesce(text, '')) FROM '{DATA}/documents.parquet' ORDER BY doc_id").fetchall()
+    owners, chunks = {}, {}
+    for _, data in rows:
+        fp = hashlib.sha256(data).hexdigest()
+        chunks[fp] = super_features(data) if len(data) > 564 else []
+        for at in enumerate(chunks[fp]):
+            owners.setdefault(at, fp)
+    want = {}
+    for fp, sf in chunks.items():
+        hit = next(((owners[at], at[0]) for at in enumerate(sf) if owners[at] != fp), None)
+        if hit:
+            want[fp] = hit
+    assert want and {r.fp: (r.base_fp, r.slot) for r in QUERIES["similar_base_candidates"](spark, DATA).collect()} == want
