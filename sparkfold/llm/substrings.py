@@ -33,10 +33,12 @@ from .words import P1, mix, powers
 GRAM, SUBS, MOST = 10, 32, 64
 NO_ID = np.iinfo(np.int64).max
 #: Bytes of text per bucket and per bundle, and of a piece that is parsed at once; buckets at least.
-BUCKET_BYTES, BUNDLE_BYTES, PIECE_BYTES, LEAST_BUCKETS = 16 << 20, 16 << 20, 1 << 20, 8
+BUCKET_BYTES, BUNDLE_BYTES, PIECE_BYTES, LEAST_BUCKETS = 16 << 20, 16 << 20, 1 << 17, 8
 #: Buckets that a blob is dealt to at once.
 FAN = 4096
-LEVEL = 6
+LEVEL = 4
+#: Places that bytes are gathered from at once.
+GATHERED = 1 << 18
 #: Windows whose least doc_ids are met with the parse at once.
 WINDOWS_AT_ONCE = 1 << 20
 _CODEC: dict[int, pa.Codec] = {}
@@ -82,11 +84,18 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """data[starts[i]:starts[i] + lengths[i]], one after the other."""
-    shift = starts - (np.cumsum(lengths) - lengths)
-    at = np.repeat(shift, lengths)
-    at += np.arange(len(at))
-    return data[at]
+    """data[starts[i]:starts[i] + lengths[i]], one after the other; about GATHERED places are held at a time."""
+    upto = np.concatenate([[0], np.cumsum(lengths)])
+    out = np.empty(int(upto[-1]), data.dtype)
+    kind = np.int32 if max(len(data), len(out)) < 1 << 31 else np.int64
+    shift = (starts - upto[:-1]).astype(kind)
+    edges = np.unique(np.searchsorted(upto, np.append(np.arange(0, len(out), GATHERED), len(out)))).tolist()
+    for lo, hi in zip(edges, edges[1:]):
+        a, z = int(upto[lo]), int(upto[hi])
+        at = np.repeat(shift[lo:hi], lengths[lo:hi])
+        at += np.arange(a, z, dtype=kind)
+        np.take(data, at, out=out[a:z], mode="clip")  # all are inside; any other mode copies out
+    return out
 
 
 def triggers(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,30 +149,37 @@ def distinct(data: np.ndarray, start: np.ndarray, length: np.ndarray, print_: np
     return first, which
 
 
+def big_endian_words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as one number; beyond the end stand zeros."""
+    one = np.concatenate([data, np.zeros(7, np.uint8)])
+    two = one[:-1].astype(np.uint16) << np.uint16(8) | one[1:]
+    four = two[:-2].astype(np.uint32) << np.uint32(16) | two[2:]
+    return four[:-4].astype(np.uint64) << np.uint64(32) | four[4:]
+
+
 def suffix_order(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The windows data[at:at + width] in lexicographic order, and which of them differ from the one before.
 
-    The order is refined eight bytes at a time, among those that are equal so far.
+    The order is refined among those that are equal so far, by as many bytes at a time as go beside
+    the number of the group of equals in 64 bits.
     """
-    words = np.empty(len(data), ">u8")
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).tobytes()
-    for k in range(8):
-        n = len(range(k, len(data), 8))
-        words[k::8] = np.frombuffer(padded, ">u8", n, k)
-    words = words.astype(np.uint64)
-    key = words[at]
+    words = big_endian_words(data)
+    done = min(8, width)
+    key = words[at] >> np.uint64(64 - 8 * done)
     order = np.argsort(key)
     key = key[order]
     new = np.append(True, key[1:] != key[:-1])
-    for step in range(8, width, 8):
+    while done < width:
         same = np.flatnonzero(~(new & np.append(new[1:], True)))
         if not len(same):
             break
-        group = np.cumsum(new)[same]
-        key = words[at[order[same]] + min(step, width - 8)]
-        by = np.lexsort((key, group))
-        order[same], key = order[same][by], key[by]
+        which, group = order[same], np.cumsum(new[same]).astype(np.uint64)
+        more = min(8 - (int(group[-1]).bit_length() + 7) // 8, width - done)
+        key = group << np.uint64(8 * more) | words[at[which] + done] >> np.uint64(64 - 8 * more)
+        by = np.argsort(key)
+        order[same], key = which[by], key[by]
         new[same[1:]] |= key[1:] != key[:-1]
+        done += more
     return order, new
 
 

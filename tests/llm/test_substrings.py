@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -87,6 +88,32 @@ def test_suffixes_are_in_lexicographic_order():
     assert new.tolist() == [k == 0 or texts[k] != texts[k - 1] for k in range(len(texts))]
 
 
+def test_windows_of_any_width_and_shared_beginnings_are_ordered():
+    r = random.Random(5)
+    text = b"".join(r.choice([b"the same long beginning of many windows ", b"\0\0\0\0\0\0\0\0\0", bytes([r.randrange(256)]), b"\xff" * 12]) for _ in range(300))
+    data = np.frombuffer(text, np.uint8)
+    assert substrings.big_endian_words(data).tolist() == [int.from_bytes(text[i : i + 8].ljust(8, b"\0"), "big") for i in range(len(text))]
+    for width in (3, 8, 9, 50, 64):
+        at = np.arange(len(data) - width + 1)
+        order, new = substrings.suffix_order(data, at, width)
+        texts = [text[i : i + width] for i in order]
+        assert texts == sorted(texts) and sorted(order.tolist()) == at.tolist()
+        assert new.tolist() == [k == 0 or texts[k] != texts[k - 1] for k in range(len(texts))]
+
+
+def test_bytes_are_gathered_without_a_place_for_each():
+    data = np.frombuffer(random.Random(6).randbytes(1 << 20), np.uint8)
+    length = np.tile([70, 0, 113], 14_000)
+    start = np.random.default_rng(6).integers(0, len(data) - 113, len(length))
+    tracemalloc.start()
+    got = substrings.gather(data, start, length)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tobytes() == b"".join(data[s : s + n].tobytes() for s, n in zip(start.tolist(), length.tolist()))
+    assert peak < 3 * len(got)  # 16 bytes of places for each byte before
+    assert len(substrings.gather(data, start[:0], length[:0])) == len(substrings.gather(data, start[:1], length[1:2])) == 0
+
+
 def test_phrases_hold_every_window_once_whatever_the_pieces(monkeypatch):
     r = random.Random(4)
     texts = ["".join(r.choice("abc ") for _ in range(r.choice([0, 3, 49, 50, 51, 300, 2000]))).encode() for _ in range(30)] + [b"a" * 500]
