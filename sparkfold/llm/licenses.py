@@ -92,7 +92,9 @@ def blocks(docs: DataFrame, key: list, text: str, longest: int, wanted: list[str
     line, from 0) and words, its distinct words.
 
     A block has a line's words and those of the lines after it, while these have fewer than ``longest``
-    words in all and none is blank. Texts without a wanted word are not cut into lines.
+    words in all and none is blank. Texts without a wanted word are not cut into lines. The explosion is
+    an outer one: of an inner one the optimiser infers that there are blocks, and pushes that condition, with
+    all of the cutting in it once for every line, down to the scan.
     """
     known = F.array(*map(F.lit, wanted))
     docs = docs.select(*key, F.regexp_replace(F.lower(F.col(text)), F.lit(f"{LINE_SEPARATORS}+"), F.lit(" ")).alias("_clean"))
@@ -110,7 +112,7 @@ def blocks(docs: DataFrame, key: list, text: str, longest: int, wanted: list[str
         return F.when(F.size(first) > 0, F.array_distinct(whole))
 
     docs = docs.select(*names, F.transform(F.sequence(F.lit(0), F.size("_lines") - 1), block).alias("_blocks"))
-    return docs.select(*names, F.posexplode("_blocks").alias("block", "words")).filter(F.arrays_overlap("words", known))
+    return docs.select(*names, F.posexplode_outer("_blocks").alias("block", "words")).filter(F.arrays_overlap("words", known))
 
 
 def template_matches(docs: DataFrame, key: tuple, text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = 0.9) -> DataFrame:

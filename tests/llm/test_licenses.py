@@ -72,3 +72,15 @@ def test_wrapped_notices_are_found_whole(spark):
     by = {r.doc_id: r.labels for r in rows}
     start = next(i for i, t in enumerate(TEXTS) if t.startswith("/*"))
     assert [by[start + k] for k in range(6)] == [["mit"], ["bsd"], ["gpl", "gpl-notice"], [], [], ["mit"]]
+
+
+def test_blocks_are_cut_once_and_not_in_a_filter_of_the_scan(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    plan = scan(spark.read.parquet(str(tmp_path / "docs")))._jdf.queryExecution().optimizedPlan()
+    filters, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        filters += [node.condition().sql()] if node.nodeName() == "Filter" else []
+    assert any("arrays_overlap" in f for f in filters)
+    assert not any("aggregate(" in f or "transform(" in f for f in filters)
