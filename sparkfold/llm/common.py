@@ -116,7 +116,7 @@ class ChunkCoder:
         words = pc.ascii_split_whitespace(self.prepare(texts))
         ends = words.offsets.to_numpy().astype(np.int64)
         coded = words.values.dictionary_encode()
-        ids = self.encode(coded.dictionary.to_pylist())
+        ids = self.encode(_strings(coded.dictionary))
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")
         starts = np.cumsum(lengths) - lengths
@@ -151,6 +151,14 @@ class ChunkCoder:
                 yield first + k, flat[ends[k] : ends[k + 1]]
 
 
+def _strings(chunks: pa.Array) -> list[str]:
+    """Chunks, which hold no line feed, as a list: much faster than one value at a time."""
+    if not len(chunks):
+        return []
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks.cast(pa.string())), "\n")
+    return joined[0].as_py().split("\n")
+
+
 def _cut(text: str, size: int):
     """Pieces of text of at least size characters that end at a space, whatever its length."""
     at = 0

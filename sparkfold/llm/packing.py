@@ -98,7 +98,7 @@ class WordTokenizer:
     def _learn_runs(self, new: list[str]) -> None:
         if not new:
             return
-        ids = self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids
+        ids = self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) == len(new):
             flat, stops = np.array(ids, "<u4").tobytes(), (4 * ends).tolist()
@@ -185,9 +185,9 @@ def exchange(windows: list[list[int]], sizes: list[int], capacity: int, steps: i
 
 
 def windows_of(sizes: list[int], capacity: int, partition: Callable[[list[int], int], list[list[int]]] = differencing) -> list[list[int]]:
-    """Whole items (none above capacity) in windows. Their number leaves one token in SLACK of the capacity
-    free at first, and rises as long as capacity is exceeded."""
-    k = max(1, -(-sum(sizes) // (capacity - capacity // SLACK)))
+    """Whole items (none above capacity) in windows. Their number is the least that can hold the sum at first,
+    and rises as long as capacity is exceeded."""
+    k = max(1, -(-sum(sizes) // capacity))
     while True:
         windows = partition(sizes, k)
         if max(exchange(windows, sizes, capacity, 4 * k), default=0) <= capacity:

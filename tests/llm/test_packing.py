@@ -2,10 +2,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from sparkfold.llm.common import _strings
 from sparkfold.llm.packing import _Packer, differencing, exchange, pack, tokenizer_coder, windows_of
 from sparkfold.llm.queries import default_tokenizer
 
@@ -83,6 +85,21 @@ def test_the_window_count_rises_when_capacity_is_exceeded():
     assert windows_of([], 100) == [] and len(windows_of([100, 50, 50], 100)) == 2
 
 
+def test_the_window_count_starts_with_the_least_that_holds_the_sum():
+    for n in (2, 3, 8):
+        assert len(windows_of([4096, 2048, 2048] * n, 4096)) == 2 * n
+    packer, rows = _Packer(4096, 64, 0), []
+    for i in range(8):
+        rows += packer.add(i, np.zeros(2048, np.uint32))
+    rows += packer.end()
+    assert len({r[5] for r in rows}) == 4
+
+
+def test_chunks_become_a_list_of_strings():
+    for chunks in ([], [""], ["a"], ["", "é", "x" * 50, "中文", "\x1c", "\x00", ""]):
+        assert _strings(pa.array(chunks, pa.large_string())) == chunks
+
+
 @given(st.lists(st.integers(1, 50), min_size=1, max_size=30))
 def test_exchanges_keep_the_items(sizes):
     windows = [list(range(j, len(sizes), 4)) for j in range(4)]
